@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = {"op1_media_sniffing": "media"}
+NAMES = {"op1_media_sniffing": "media", "op9_simhash_vptree": "simhash"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
