@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = {"op1_media_sniffing": "media", "op9_simhash_vptree": "simhash", "op5_contextual_pii": "pii", "op10_license_diagonals": "licenses"}
+NAMES = {"op1_media_sniffing": "media", "op9_simhash_vptree": "simhash", "op5_contextual_pii": "pii", "op10_license_diagonals": "licenses", "op2_bradley_terry": "quality"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
