@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = {"op1_media_sniffing": "media", "op9_simhash_vptree": "simhash", "op5_contextual_pii": "pii", "op10_license_diagonals": "licenses", "op2_bradley_terry": "quality", "op4_text_density": "extract", "op7_bm25_blockmax_wand": "decontaminate", "op6_line_minhash": "linededup", "op3_raked_mixture": "mixing"}
+NAMES = {"op1_media_sniffing": "media", "op9_simhash_vptree": "simhash", "op5_contextual_pii": "pii", "op10_license_diagonals": "licenses", "op2_bradley_terry": "quality", "op4_text_density": "extract", "op7_bm25_blockmax_wand": "decontaminate", "op6_line_minhash": "linededup", "op3_raked_mixture": "mixing", "op8_secret_forest": "secrets"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
