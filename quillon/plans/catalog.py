@@ -1,9 +1,276 @@
-"""All queries over the reference's own operators, and the SQL each is held against."""
+"""All queries over the reference's own operators, and the SQL each is held against.
 
+The table documents plays the corpus: doc_id is the place of a document, text its abstract. Queries that SQL can express run
+without stemming, which SQL lacks; those with stems, folds and models have no SQL and are held by tests.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import text as tx
+from quillon.functions.analyzer import stemmed, terms
+from quillon.operators import boolean, cluster, corpus, merge, metrics, ranking
+from quillon.operators.index import Index, build_index
+
+QUERIES = {1: "license public general", 2: "token tion er", 3: "ou sh ha ti ti", 4: "the reanti thonon ouen", 5: "de la que con", 6: "mit license apache"}
+BOOLEAN = {
+    "and": "license AND public",
+    "or": "license OR token",
+    "not": "NOT er",
+    "nested": "(license OR token) AND NOT (public OR nd) OR NOT tion",
+    "phraseword": "the cc-by-nc NOT token",
+}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_ord"), F.lit(None).cast("string").alias("title"), F.col("text").alias("abstract"))
+
+
+def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
+    return build_index(papers(spark, sf_dir), stem=stem, text=F.col("abstract"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+def _tokenize(spark, d):
+    x = tx.tokenize("text")
+    return documents(spark, d).select("doc_id", F.size(x).cast("long").alias("n_tokens"), F.array_join(x, " ").alias("tokens"))
+
+
+def _no_stop(spark, d):
+    x = terms("text", stem=False)
+    return documents(spark, d).select("doc_id", F.size(x).cast("long").alias("n_tokens"), F.array_join(x, " ").alias("tokens"))
+
+
+def _boolean(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: boolean.boolean_matches(index(spark, d), query)
+
+
+def _judgments(spark, d):
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
+    return labels.groupBy((F.col("doc_id") % 6 + 1).alias("qid")).agg(F.collect_list("doc_id").alias("relevant"))
+
+
+def _rankings(spark, d):
+    found = ranking.ranked(ranking.bm25_scores(index(spark, d), QUERIES), metrics.DEPTH)
+    return found.select("qid", "rank", F.col("doc_ord").alias("doc"))
+
+
+def _corpus(spark, d):
+    return documents(spark, d).select("doc_id", F.col("text").alias("abstract"), F.array("lang").alias("categories"), F.when(F.col("doc_id") % 3 == 0, F.array("source", F.lit("extra"))).otherwise(F.array("source")).alias("sources"), (F.col("doc_id") % 20).cast("int").alias("year"))
+
+
+def _records(spark, d, part: int):
+    """Documents as the records of one of two sources: titles are first lines, so copies meet."""
+    x = documents(spark, d).where(F.col("doc_id") % 2 == part)
+    return x.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string"))).alias("arxiv_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.array("lang").alias("categories"), F.col("n_chars").alias("citation_count"), F.lit("arxiv" if part else "semantic_scholar").alias("source"))
+
+
+def _merged(spark, d):
+    x = merge.merge_records(merge.in_order(_records(spark, d, 1), _records(spark, d, 0)))
+    return x.select("doc_ord", "doc_id", "title", F.length("abstract").alias("n_chars"), "citation_count", F.array_join("sources", "+").alias("sources"), F.array_join("categories", "+").alias("categories"))
+
+
+def _functions(spark, d):
+    name = F.concat(F.lit("cs/"), F.col("doc_id").cast("string"), F.lit("v"), (F.col("doc_id") % 4).cast("string"))
+    return documents(spark, d).select(
+        "doc_id",
+        tx.strip_version(name).alias("unversioned"),
+        tx.id_from_url(F.concat(F.lit("http://x/abs/"), name)).alias("paper"),
+        F.coalesce(tx.year_of(F.concat((F.col("doc_id") % 3000).cast("string"), F.lit("-01-01"))), F.lit(-1)).alias("year"),
+        tx.document_id(F.when(F.col("doc_id") % 3 == 0, name).otherwise(""), F.when(F.col("doc_id") % 3 == 1, name), "text").alias("paper_id"),
+        tx.clip("text", 90).alias("clipped"),
+        F.length("text").alias("n"),
+        tx.is_number(F.substring("text", 1, 1)).alias("number_first"),
+    )
+
+
+def _first(spark, d):
+    return merge.first_by_key(documents(spark, d).select("doc_id", "text"), "text", "doc_id").select("doc_id")
+
+
+def _topics(spark, d):
+    vectors = cluster.vectorize(papers(spark, d), text=F.col("abstract"))
+    model = cluster.fit_topics(vectors.vectors, 8, starts=3)
+    return vectors, model, cluster.assignments(model, vectors.vectors)
+
+
+def _kmeans(spark, d):
+    return _topics(spark, d)[2]
+
+
+def _top_terms(spark, d):
+    vectors, model, _ = _topics(spark, d)
+    return cluster.top_terms(model, vectors.vocabulary)
+
+
+def _representatives(spark, d):
+    return cluster.representatives(_topics(spark, d)[2])
+
+
+def _silhouette(spark, d):
+    vectors = cluster.vectorize(papers(spark, d), text=F.col("abstract"))
+    return spark.createDataFrame(cluster.silhouette_scan(vectors.vectors, 4, 5, starts=1))
+
+
+def _stems(spark, d):
+    words = documents(spark, d).select(F.explode(tx.tokenize("text")).alias("word")).distinct()
+    return words.select("word", stemmed(F.col("word")).alias("stem"))
+
+
+def _hits(spark, d):
+    found = ranking.bm25_search(index(spark, d), QUERIES[1], 20)
+    docs = documents(spark, d).select(F.col("doc_id").alias("doc_ord"), tx.normalize_title(F.substring_index("text", "\n", 1)).alias("title"), F.array("source").alias("sources"))
+    return found.join(docs, "doc_ord").select("rank", tx.hit_line("rank", "title", F.lit(None).cast("int"), "sources", "score").alias("line"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    best = lambda f, k=10: lambda s, d: rounded(ranking.ranked(f(index(s, d)), k), "score")
+    one = lambda f: lambda s, d: rounded(f(index(s, d)), "score")
+    return {
+        "tokenize_docs": _tokenize,
+        "tokens_no_stop": _no_stop,
+        "clean_text": lambda s, d: documents(s, d).select("doc_id", tx.clean_whitespace("text").alias("cleaned")),
+        "normalize_title": lambda s, d: documents(s, d).select("doc_id", tx.normalize_title(F.substring_index("text", "\n", 1)).alias("title_key")),
+        "scalar_functions": _functions,
+        "min_length_filter": lambda s, d: documents(s, d).where(F.length(tx.clean_whitespace("text")) >= 100).select("doc_id", F.length("text").cast("long").alias("n")),
+        "first_by_key": _first,
+        "postings": lambda s, d: index(s, d).postings,
+        "term_stats": lambda s, d: index(s, d).term_stats,
+        "doc_stats": lambda s, d: index(s, d).doc_stats,
+        "corpus_stats": lambda s, d: rounded(index(s, d).corpus_stats, "avgdl"),
+        "vocabulary_size": lambda s, d: index(s, d).vocabulary_size(),
+        "top_df_terms": lambda s, d: index(s, d).top_terms(10),
+        "doc_norms": lambda s, d: rounded(index(s, d).doc_norms(), "norm"),
+        "bm25_topk": one(lambda i: ranking.bm25_search(i, QUERIES[2], 10)),
+        "bm25_b0": one(lambda i: ranking.bm25_search(i, QUERIES[2], 10, b=0.0)),
+        "bm25_batch": best(lambda i: ranking.bm25_scores(i, QUERIES), 50),
+        "tfidf_topk": one(lambda i: ranking.tfidf_search(i, QUERIES[2], 10)),
+        "tfidf_batch": best(lambda i: ranking.tfidf_scores(i, QUERIES), 50),
+        **{f"boolean_{name}": _boolean(q) for name, q in BOOLEAN.items()},
+        "boolean_topk": lambda s, d: boolean.boolean_search(index(s, d), BOOLEAN["or"], 20),
+        "eval_metrics": lambda s, d: rounded(metrics.query_metrics(_rankings(s, d), _judgments(s, d)), "p5", "p10", "r10", "ap"),
+        "eval_model": lambda s, d: rounded(metrics.model_metrics({"bm25": _rankings(s, d)}, _judgments(s, d)), "p5", "p10", "r10", "map"),
+        "corpus_summary": lambda s, d: rounded(corpus.corpus_summary(_corpus(s, d)), "mean_abstract"),
+        "source_counts": lambda s, d: corpus.source_counts(_corpus(s, d)),
+        "top_categories": lambda s, d: corpus.top_categories(_corpus(s, d)),
+        "hit_lines": _hits,
+        "tfidf_weights": lambda s, d: rounded(cluster.tfidf_weights(papers(s, d), text=F.col("abstract"), stem=False), "weight"),
+        "merge_sources": _merged,
+        "stem_terms": _stems,
+        "stem_postings": lambda s, d: index(s, d, True).postings,
+        "stem_bm25_batch": lambda s, d: rounded(ranking.ranked(ranking.bm25_scores(index(s, d, True), QUERIES), 50), "score"),
+        "kmeans_topics": _kmeans,
+        "top_terms": _top_terms,
+        "representatives": _representatives,
+        "silhouette_scan": _silhouette,
+    }
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_SPACES = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_INDEX = f"""WITH tok AS (SELECT doc_id AS doc_ord, unnest({_TOKENS}) AS term FROM documents),
+counts AS (SELECT doc_ord, term, count(*)::BIGINT AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+lengths AS (SELECT d.doc_id AS doc_ord, coalesce(sum(c.tf), 0)::BIGINT AS dl FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_ord GROUP BY 1),
+terms AS (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY 1),
+corpus AS (SELECT count(*)::BIGINT AS n, coalesce(avg(dl), 0.0)::DOUBLE AS avgdl FROM lengths),
+norms AS (SELECT doc_ord, sqrt(sum(power((1 + log10(tf)) * log10(n / df), 2))) AS norm FROM counts JOIN terms USING (term), corpus GROUP BY 1)"""
+
+
+def _asked(only: int | None = None) -> str:
+    """The queries as (qid, term, qtf)."""
+    from collections import Counter
+
+    from quillon.functions.analyzer import analyze
+
+    rows = [f"({q}, '{t}', {n})" for q, text in QUERIES.items() if only in (None, q) for t, n in Counter(analyze(text, stem=False)).items()]
+    return f", q(qid, term, qtf) AS (VALUES {', '.join(rows)})"
+
+
+def _bm25(b: float = 0.75) -> str:
+    return f""", scores AS (SELECT qid::BIGINT AS qid, doc_ord, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl))), 10) AS score
+FROM counts JOIN q USING (term) JOIN terms USING (term) JOIN lengths USING (doc_ord), corpus GROUP BY 1, 2)"""
+
+
+_TFIDF = """, w AS (SELECT qid, doc_ord, term, (1 + log10(qtf)) * log10(n / df) AS qw, (1 + log10(tf)) * log10(n / df) AS dw FROM counts JOIN q USING (term) JOIN terms USING (term), corpus WHERE df <> n),
+ql AS (SELECT qid, sqrt(sum(qw * qw)) AS qnorm FROM (SELECT DISTINCT qid, term, qw FROM w) GROUP BY 1),
+scores AS (SELECT qid::BIGINT AS qid, doc_ord, round(sum(qw * dw) / (any_value(qnorm) * any_value(norm)), 10) AS score FROM w JOIN ql USING (qid) JOIN norms USING (doc_ord) WHERE norm > 0 GROUP BY 1, 2)"""
+
+
+def _top(k: int, qid: bool = True) -> str:
+    return f"""
+SELECT {"qid, " if qid else ""}rank::BIGINT AS rank, doc_ord, round(score, 6) AS score, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_ord) AS rank, count(*) OVER (PARTITION BY qid) AS total FROM scores) WHERE rank <= {k}"""
+
+
+def _has(term: str) -> str:
+    return f"doc_ord IN (SELECT doc_ord FROM counts WHERE term = '{term}')"
+
+
+_EVAL = f"""{_bm25()}, ranks AS (SELECT qid, doc_ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_ord) AS rank FROM scores),
+rel AS (SELECT DISTINCT (doc_id % 6 + 1)::BIGINT AS qid, doc_id FROM labels WHERE quality = 1),
+size AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY 1),
+flags AS (SELECT s.qid, n_rel, rank, (r.doc_id IS NOT NULL)::INT AS rel FROM size s LEFT JOIN (SELECT * FROM ranks WHERE rank <= 100) k ON s.qid = k.qid LEFT JOIN rel r ON r.qid = s.qid AND r.doc_id = k.doc_ord),
+hits AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM flags),
+each AS (SELECT qid, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5.0::DOUBLE AS p5, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0::DOUBLE AS p10,
+sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END)::DOUBLE / max(n_rel) AS r10, coalesce(sum(rel * hits::DOUBLE / rank), 0.0) / max(n_rel) AS ap FROM hits GROUP BY 1)"""
+
+_CORPUS = "WITH c AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN [source, 'extra'] ELSE [source] END AS sources, (doc_id % 20)::INT AS year FROM documents)"
+
+
+def oracle_sql() -> dict[str, str]:
+    title = "regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g')"
+    name = "('cs/' || doc_id || 'v' || (doc_id % 4))"
+    clean = f"trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))"
+    found = {
+        "and": f"{_has('license')} AND {_has('public')}",
+        "or": f"{_has('license')} OR {_has('token')}",
+        "not": f"NOT {_has('er')}",
+        "nested": f"(({_has('license')} OR {_has('token')}) AND NOT ({_has('public')} OR {_has('nd')})) OR NOT {_has('tion')}",
+        "phraseword": f"{_has('cc')} AND {_has('nc')} AND NOT {_has('token')}",
+    }
+    return {
+        "tokenize_docs": f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents",
+        "tokens_no_stop": f"SELECT doc_id, len(k)::BIGINT AS n_tokens, array_to_string(k, ' ') AS tokens FROM (SELECT doc_id, list_filter({_TOKENS}, lambda t: t NOT IN ({_STOP})) AS k FROM documents)",
+        "clean_text": f"SELECT doc_id, {clean} AS cleaned FROM documents",
+        "normalize_title": f"SELECT doc_id, {title} AS title_key FROM documents",
+        "scalar_functions": f"""SELECT doc_id, regexp_replace({name}, 'v[0-9]+$', '') AS unversioned, regexp_replace({name}, 'v[0-9]+$', '') AS paper,
+CASE WHEN regexp_matches(substr((doc_id % 3000)::VARCHAR || '-01-01', 1, 4), '^[0-9]+$') THEN substr((doc_id % 3000)::VARCHAR || '-01-01', 1, 4)::INT ELSE -1 END AS year,
+CASE doc_id % 3 WHEN 0 THEN 'arxiv:' || {name} WHEN 1 THEN 's2:' || {name} ELSE 'title:' || left(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 40) END AS paper_id,
+CASE WHEN length(text) > 90 THEN left(text, 87) || '...' ELSE text END AS clipped, length(text)::INT AS n, regexp_matches(substr(text, 1, 1), '^[0-9]+$') AS number_first FROM documents""",
+        "min_length_filter": f"SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length({clean}) >= 100",
+        "first_by_key": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
+        "postings": f"{_INDEX} SELECT term, doc_ord, tf, dl FROM counts JOIN lengths USING (doc_ord)",
+        "term_stats": f"{_INDEX} SELECT term, df FROM terms",
+        "doc_stats": f"{_INDEX} SELECT doc_ord, dl FROM lengths",
+        "corpus_stats": f"{_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM corpus",
+        "vocabulary_size": f"{_INDEX} SELECT count(*)::BIGINT AS terms FROM terms",
+        "top_df_terms": f"{_INDEX} SELECT term, df FROM terms ORDER BY df DESC, term LIMIT 10",
+        "doc_norms": f"{_INDEX} SELECT doc_ord, round(norm, 6) AS norm FROM norms",
+        "bm25_topk": _INDEX + _asked(2) + _bm25() + _top(10, False),
+        "bm25_b0": _INDEX + _asked(2) + _bm25(0.0) + _top(10, False),
+        "bm25_batch": _INDEX + _asked() + _bm25() + _top(50),
+        "tfidf_topk": _INDEX + _asked(2) + _TFIDF + _top(10, False),
+        "tfidf_batch": _INDEX + _asked() + _TFIDF + _top(50),
+        **{f"boolean_{k}": f"{_INDEX} SELECT doc_ord FROM lengths WHERE {v}" for k, v in found.items()},
+        "boolean_topk": f"{_INDEX}, m AS (SELECT doc_ord FROM lengths WHERE {found['or']}) SELECT row_number() OVER (ORDER BY doc_ord)::BIGINT AS rank, doc_ord, NULL::DOUBLE AS score, (SELECT count(*) FROM m)::BIGINT AS total FROM m ORDER BY doc_ord LIMIT 20",
+        "eval_metrics": _INDEX + _asked() + _EVAL + " SELECT qid, round(p5, 6) AS p5, round(p10, 6) AS p10, round(r10, 6) AS r10, round(ap, 6) AS ap FROM each",
+        "eval_model": _INDEX + _asked() + _EVAL + " SELECT 'bm25' AS model, round(avg(p5), 6) AS p5, round(avg(p10), 6) AS p10, round(avg(r10), 6) AS r10, round(avg(ap), 6) AS map FROM each",
+        "corpus_summary": f"{_CORPUS} SELECT count(*)::BIGINT AS documents, sum((len(sources) > 1)::INT)::BIGINT AS in_several_sources, min(CASE WHEN year <> 0 THEN year END) AS first_year, max(CASE WHEN year <> 0 THEN year END) AS last_year, round(avg(length(text)), 6) AS mean_abstract FROM c",
+        "source_counts": f"{_CORPUS} SELECT source, count(*)::BIGINT AS documents FROM (SELECT unnest(sources) AS source FROM c) GROUP BY 1",
+        "top_categories": f"{_CORPUS} SELECT lang AS category, count(*)::BIGINT AS documents FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+        "hit_lines": _INDEX + _asked(1) + _bm25() + f""" SELECT rank, printf('%3d. [----] %s  (%s)  score=%.4f', rank, CASE WHEN t = '' THEN '(untitled)' WHEN length(t) > 90 THEN left(t, 87) || '...' ELSE t END, source, score) AS line
+FROM (SELECT s.*, {title} AS t, source, row_number() OVER (ORDER BY score DESC, doc_ord)::BIGINT AS rank FROM scores s JOIN documents ON doc_id = doc_ord) WHERE rank <= 20""",
+        "tfidf_weights": f"""{_INDEX}, raw AS (SELECT doc_ord, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM counts JOIN terms USING (term), corpus WHERE df >= 2)
+SELECT doc_ord, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_ord)), 6) AS weight FROM raw""",
+    }
