@@ -9,11 +9,19 @@ from pyspark.sql import types as T
 from quillon.functions.text import clean_whitespace, id_from_url, null_if_empty, year_of
 from quillon.operators.merge import RECORD
 
-ATOM_ENTRY = T.StructType.fromDDL("id string, title string, summary string, published string, author array<struct<name: string>>, category array<struct<_term: string>>")
-SCHOLAR_RECORD = T.StructType.fromDDL(
-    "paperId string, title string, abstract string, year int, authors array<struct<authorId: string, name: string>>, externalIds struct<ArXiv: string, DOI: string>, url string, citationCount long, fieldsOfStudy array<string>, venue string"
-)
-JUDGMENTS = T.StructType.fromDDL("query string, relevant array<string>")
+_TEXT, _WORDS = T.StringType(), T.ArrayType(T.StringType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ATOM_ENTRY = _struct(id=_TEXT, title=_TEXT, summary=_TEXT, published=_TEXT, author=T.ArrayType(_struct(name=_TEXT)), category=T.ArrayType(_struct(_term=_TEXT)))
+SCHOLAR_RECORD = _struct(
+    paperId=_TEXT, title=_TEXT, abstract=_TEXT, year=T.IntegerType(), authors=T.ArrayType(_struct(authorId=_TEXT, name=_TEXT)), externalIds=_struct(ArXiv=_TEXT, DOI=_TEXT),
+    url=_TEXT, citationCount=T.LongType(), fieldsOfStudy=_WORDS, venue=_TEXT,
+)
+JUDGMENTS = _struct(query=_TEXT, relevant=_WORDS)
 CORPUS = T.StructType([T.StructField("doc_id", T.StringType()), *RECORD.fields])
 MIN_ABSTRACT = 100
 
