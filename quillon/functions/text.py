@@ -96,11 +96,10 @@ def author_line(authors: Column | str, shown: int = 3) -> Column:
     return F.concat(F.array_join(F.slice(names, 1, shown), ", "), F.when(F.size(names) > shown, F.lit(" et al.")).otherwise(F.lit("")))
 
 
-def truncate_words(text: Column | str, most: int, leeway: int = 5) -> Column:
-    """Cut at a word's end if a text is longer than `most` and some more, as page templates do."""
+def truncate(text: Column | str, most: int, leeway: int = 5) -> Column:
+    """Cut to `most` characters, mark included, if a text is longer than that and some more, as page templates do."""
     c = or_empty(text)
-    head = F.left(c, F.lit(most - 3))
-    return F.when(F.length(c) <= most + leeway, c).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("...")))
+    return F.when(F.length(c) <= most + leeway, c).otherwise(F.concat(F.left(c, F.lit(most - 3)), F.lit("...")))
 
 
 #: Words that are not marked in a hit.
