@@ -7,9 +7,9 @@ are a band, equal for two lines with probability J^ROWS as with as many MinHash
 for ten bands of four). A shingle is hashed once for all bands.
 
 Lines that share a band are candidates. In each bucket all lines are compared with one of them first, by exact Jaccard on
-the full sets, and verified links go to a distributed union-find; then only those pairs of a bucket that are still in
-different components are compared as well. So every candidate pair is either verified or already joined: no link is lost,
-and no bucket of near copies emits all its pairs. Of each component the first line by (doc_id, line number) stays.
+the full sets, and verified links go to a distributed union-find; then those pairs of a bucket that are still in different
+components are compared as well, by the condition of a join, which only links pass. So every candidate pair is either
+verified or already joined: no link is lost, and no bucket of near copies emits all its pairs. Of each component the first line by (doc_id, line number) stays.
 
 A line is known by a 64-bit hash of its text; n different lines have a chance of n^2 / 2^65 that two are mixed up.
 
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, cut, table
+from quillon.llm.common import components, cut, release, sifted, table
 
 MIN_CHARS, BANDS, ROWS, LEAST = 30, 10, 4, 0.8
-SHINGLE = r"(?s)(?=(.{8}))(?:[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}\p{N}]{1,8})"
+SHINGLE = r"(?s)(?=(.{8}))(?:[a-z0-9\x{AA}-\x{2E7F}]{1,8}+|[^\x{0}-\x{2E7F}])[^a-z0-9\x{AA}-\x{10FFFF}]*+"
 
 
 def _normal(line):
@@ -54,11 +54,17 @@ def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return ring.select(*x.columns, "id", "n", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(bands)])
 
 
+def _same(a, b, least: float):
+    """Whether two sets have a Jaccard index of `least` or more; sizes that rule it out are looked at first."""
+    na, nb = F.size(a), F.size(b)
+    common = F.size(F.array_intersect(a, b))
+    return (F.least(na, nb) >= least * F.greatest(na, nb)) & (common >= least * (na + nb - common))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of line ids whose sets have a Jaccard index of `least` or more."""
+    """Those pairs (a, b) of line ids whose sets are alike."""
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return x.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return x.where(_same(F.col("sa"), F.col("sb"), least)).select("a", "b")
 
 
 def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> DataFrame:
@@ -69,20 +75,25 @@ def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> Dat
     ends = rows.groupBy("key").agg(F.min(F.xxhash64("key", "id")).alias("low"), F.max(F.xxhash64("key", "id")).alias("high"), F.max("n").alias("most")).where("low <> high")
     # the condition on n holds always; with it both sides read the same columns, so their exchange is made once
     members = cut(rows.join(ends.select("key", "low", "most").hint("shuffle_hash"), "key").where("n <= most").select("key", "low", "id", "n"))
+    del once, rows, ends
+    release(members.sparkSession)
     heads = members.where(F.xxhash64("key", "id") == F.col("low")).select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.least("n", "nb") >= least * F.greatest("n", "nb")) & (F.col("id") != F.col("b"))
     stars = cut(members.join(heads, "key").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
     wanted = members.select("id").distinct()
-    sets = cut(source.withColumn("id", F.xxhash64("line")).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")).select("id", _set(F.col("line")).alias("set")))
+    texts = sifted(source.withColumn("id", F.xxhash64("line")), "id", wanted).where("maybe").join(wanted, "id", "left_semi")
+    sets = cut(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", _set(F.col("line")).alias("set")))
     links = cut(_alike(stars, sets, least))
+    del texts
+    release(members.sparkSession)
     roots = components(links)
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi").select("key", "id", "n", "root"))
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = open_.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & near).select(F.col("id").alias("a"), "b").distinct()
-    more = _alike(across.join(stars, ["a", "b"], "left_anti"), sets, least)
-    return components(links.union(more))
+    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "root").join(sets, "id")
+    other = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
+    apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb"))
+    more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), least))  # decided inside the join: only links leave it
+    return components(links.union(more.select("id", "b").distinct()))
 
 
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
@@ -100,9 +111,13 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
     """All columns of docs in a struct row, and of its text: lines (their number), lost, text (what stays), substance (whether a line of min_chars stays)."""
-    gone = dropped(docs, min_chars, least)
+    gone = cut(dropped(docs, min_chars, least))
+    release(docs.sparkSession)
     x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("whole"))
-    x = x.join(gone, x["id"].eqNullSafe(gone["doc"]), "left").withColumn("all", F.split("whole", "\n"))
+    x = sifted(x.withColumn("hash", F.xxhash64("id")), "hash", gone.select(F.xxhash64("doc").alias("hash"))).drop("hash")
+    some = x.where("maybe")
+    some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left").select("row", "whole", "gone")  # only texts that lose lines are shuffled
+    x = x.where("not maybe").select("row", "whole", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).union(some).withColumn("all", F.split("whole", "\n"))
     stays = F.expr("filter(all, (s, i) -> not array_contains(gone, struct(i as pos, xxhash64(lower(trim(s))) as id)))")
     x = x.withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
     lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long")
