@@ -101,3 +101,28 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels("found").alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _oracle(k: int = 2, least: float = 0.75, gap: int = 3) -> str:
+    rows = []
+    for n, (text, label, exact) in enumerate([(t, label, True) for t, label in PHRASES] + [(t, label, False) for t, label in TEMPLATES]):
+        words = text.split()
+        at = [j for j in range(len(words) - k + 1) if exact or not set(words[j : j + k]) <= set(COMMON)]
+        rows += [f"({n}, '{label}', {exact}, {len(at)}, {j}, '{' '.join(words[j : j + k])}')" for j in at]
+    gram = " || ' ' || ".join(["word", *[f"lead(word, {d}) OVER (PARTITION BY doc_id ORDER BY i)" for d in range(1, k)]])
+    return f"""WITH t(template, label, exact, total, j, gram) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS words FROM documents),
+tok AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(0, len(words) - 1)) AS i FROM w WHERE len(words) > 0),
+g AS (SELECT doc_id, i, {gram} AS gram FROM tok),
+d AS (SELECT doc_id, template, label, exact, total, i - j AS diagonal, min(i) AS a, max(i) AS z, list(DISTINCT j) AS js FROM g JOIN t USING (gram) GROUP BY 1, 2, 3, 4, 5, 6),
+n AS (SELECT *, CASE WHEN exact OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {gap} THEN 1 ELSE 0 END AS new FROM d WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
+m AS (SELECT doc_id, template, label, exact, total, run, min(a) AS a, max(z) + {k - 1} AS z, len(list_distinct(flatten(list(js))))::DOUBLE / total AS coverage FROM r GROUP BY 1, 2, 3, 4, 5, 6),
+s AS (SELECT *, CASE WHEN exact THEN coverage = 1 ELSE coverage >= {least} END AS good FROM m WHERE exact OR z - a < 2 * (total + {len(COMMON)})),
+f AS (SELECT doc_id, count(*) FILTER (good AND exact) AS n_base, min(a) FILTER (good AND exact) AS first_word, max(a) FILTER (good AND exact) AS last_word,
+string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good AND exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good) AS labels, max(coverage) AS score FROM s GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN f ON w.doc_id = f.doc_id"""
+
+
+ORACLE_SQL = {"op10_license_diagonals": _oracle()}
