@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """For what goes on to Python: batches end at some bytes, not only at a number of rows, so very long texts come few at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as its cleaner does every half hour by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sifted(df: DataFrame, hashed: str, ids: DataFrame, bits: int = 26, mark: str = "maybe") -> DataFrame:
+    """Adds a flag that is true for every row whose `hashed`, a 64-bit hash, is among ids (one column) and false for most others.
+
+    A prefilter for joins: the ids become a bitmap of 2^bits bits, at most 8 MB by construction however many they are, which is broadcast.
+    """
+    at = lambda c: F.pmod(c, F.lit(1 << bits))
+    h = at(F.col(ids.columns[0]))
+    maps = ids.select((h / 32768).cast("int").alias("_b"), (h % 32768).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    x = df.withColumn("_h", at(F.col(hashed))).withColumn("_k", (F.col("_h") / 32768).cast("int"))
+    x = x.join(F.broadcast(maps), F.col("_k") == F.col("_b"), "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(_m, cast((_h % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(_h % 8 as int)) & 1")
+    return x.withColumn(mark, F.coalesce(bit == 1, F.lit(False))).drop("_h", "_k", "_b", "_m")
+
+
 def with_types(df: DataFrame, **types: str) -> DataFrame:
     """Only these columns, cast to these types; whatever else the table holds, also under clashing names, is left out."""
     return df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table, with_types
+from quillon.llm.common import bounded, table, with_types
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -205,7 +205,7 @@ def with_matches(docs: DataFrame, items: DataFrame, name: str = "leaks", text: s
         shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows.collect()]))
 
         found.append(_matcher(shared)(F.col(text).cast("string")))
-    return docs.withColumn(name, F.array_sort(F.concat(*found) if parts > 1 else found[0]))
+    return bounded(docs).withColumn(name, F.array_sort(F.concat(*found) if parts > 1 else found[0]))
 
 
 def op7_bm25_blockmax_wand(spark: SparkSession, sf_dir: str) -> DataFrame:

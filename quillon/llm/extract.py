@@ -27,7 +27,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import table, with_types
+from quillon.llm.common import bounded, table, with_types
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTR = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -247,7 +247,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [article(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return with_types(pages, page_id="long", url="string", html="string").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return bounded(with_types(pages, page_id="long", url="string", html="string")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

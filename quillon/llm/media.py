@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table, with_types
+from quillon.llm.common import bounded, table, with_types
 
 UNKNOWN = "application/octet-stream"
 
@@ -225,7 +225,7 @@ def sniffed(df: DataFrame, blob: str = "blob", declared: str | None = None) -> D
             yield pd.DataFrame(rows, columns=["media_type", "segments"])
 
     said = F.lit(None).cast("string") if declared is None else F.col(declared).cast("string")
-    return df.withColumn("_found", find(F.col(blob))).withColumns({"media_type": F.col("_found.media_type"), "segments": F.col("_found.segments")}).withColumn("corrected", ~F.col("media_type").eqNullSafe(said)).drop("_found")
+    return bounded(df).withColumn("_found", find(F.col(blob))).withColumns({"media_type": F.col("_found.media_type"), "segments": F.col("_found.segments")}).withColumn("corrected", ~F.col("media_type").eqNullSafe(said)).drop("_found")
 
 
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, n_segments long"
@@ -253,7 +253,7 @@ def stored_texts(docs: DataFrame, declared: str = UNKNOWN) -> DataFrame:
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
-    return with_types(docs, doc_id="long", text="string").mapInPandas(run, RESULT)
+    return bounded(with_types(docs, doc_id="long", text="string")).mapInPandas(run, RESULT)
 
 
 def op1_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import bounded, cut, table
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, ALPHA, BUDGET, CELLS = 8, 0.5, 0.5, 100_000
@@ -62,7 +62,7 @@ def _level(c: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """row (all columns), doc_id, u (a number in [0, 1) that decides), source, lang, topic, tokens."""
-    x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _level(F.col("source")).alias("source"), _level(F.col("lang")).alias("lang"))
+    x = bounded(docs).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _level(F.col("source")).alias("source"), _level(F.col("lang")).alias("lang"))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
     return x.withColumn("m", _measure("text")).select("row", "doc_id", u.alias("u"), "source", "lang", "m.topic", "m.tokens")
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table, with_types
+from quillon.llm.common import bounded, cut, table, with_types
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -129,7 +129,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             rows = [mentions(t or "") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "base": [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s, _ in rows], "found": [m for _, m in rows]})
 
-    return with_types(docs, doc_id="long", text="string").mapInPandas(run, f"doc_id long, base array<struct<start: long, end: long, kind: string>>, found array<{MENTION}>")
+    return bounded(with_types(docs, doc_id="long", text="string")).mapInPandas(run, f"doc_id long, base array<struct<start: long, end: long, kind: string>>, found array<{MENTION}>")
 
 
 def patterns(seen: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:

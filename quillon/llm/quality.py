@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table, with_types
+from quillon.llm.common import bounded, table, with_types
 
 SAMPLE = 6000
 PAIRS = 60_000
@@ -102,7 +102,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
 
-    rows = with_types(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id").mapInPandas(run, "doc_id long, quality int, x array<double>")
+    rows = bounded(with_types(docs, doc_id="long", text="string")).join(F.broadcast(known), "doc_id").mapInPandas(run, "doc_id long, quality int, x array<double>")
     got = rows.toPandas()  # at most `sample` ids, a few numbers each
     if not len(got):
         return None
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame
         for batch in texts:
             yield pd.Series(score(model, np.array([features(t) for t in batch]).reshape(len(batch), len(FEATURES))))
 
-    return docs.withColumn("score", run(F.col(text).cast("string")))
+    return bounded(docs).withColumn("score", run(F.col(text).cast("string")))
 
 
 def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

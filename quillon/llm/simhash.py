@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, cut, table, with_types
+from quillon.llm.common import bounded, components, cut, table, with_types
 
 RADIUS = 4
 LEAF = 256
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fp = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
 
-    return with_types(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long")
+    return bounded(with_types(docs, doc_id="long", text="string")).mapInPandas(run, "doc_id long, fp long")
 
 
 def _walk(x: np.ndarray, radius: int, near) -> list[tuple[int, int]]:
