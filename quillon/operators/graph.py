@@ -28,17 +28,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node_type: str = "l
     edges: two columns of nodes. Returns (node, root), root being the smallest node of the component; nodes in no edge
     between different nodes are absent. Every step is a shuffle of at most the edges; the driver sees two numbers a round.
     """
-    e = edges.select(F.col(a).cast(node_type).alias("u"), F.col(b).cast(node_type).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = cut(e), None
+    e = edges.select(F.col(a).cast(node_type).alias("u"), F.col(b).cast(node_type).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e, before = cut(e.distinct()), None
+    few = e.sparkSession.sparkContext.defaultParallelism
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # each star shuffles once, by its centre: the least neighbour and the edges are read from the same exchange
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).repartition("u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        parts = max(few, (before[0] if before else 0) // 250_000)
+        e = cut(small.coalesce(parts))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
