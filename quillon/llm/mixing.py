@@ -108,7 +108,7 @@ def scale_for(factor: np.ndarray, tokens: np.ndarray, budget: float) -> float:
     return float(1 / f[f > 0].min()) if (f > 0).any() else 0.0
 
 
-def _raked_here(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float) -> DataFrame:
+def _raked_here(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float, rounds: int) -> DataFrame:
     rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMENSIONS))
     spark = cells.sparkSession
     schema = "source string, lang string, topic string, factor double, probability double"
@@ -121,12 +121,12 @@ def _raked_here(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], bu
         target = shares(dict(zip(names.tolist(), np.bincount(level, weights=tokens).tolist(), strict=True)), targets.get(d))
         levels.append(level)
         wanted.append(np.array([target[n] for n in names.tolist()]))
-    factor = rake(levels, tokens, wanted)
+    factor = rake(levels, tokens, wanted, rounds)
     p = np.minimum(1.0, factor * scale_for(factor, tokens, budget))
     return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), float(f), float(q)) for r, f, q in zip(rows, factor, p, strict=True)], schema)
 
 
-def _raked_apart(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float, rounds: int = 30, near: float = 1e-6) -> DataFrame:
+def _raked_apart(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float, rounds: int, near: float = 1e-6) -> DataFrame:
     """The same steps where the cells are too many for the driver; level totals and factors stay tables."""
     total = cells.agg(F.sum("tokens")).first()[0]
     w = cells.withColumn("w", F.col("tokens") / total)
@@ -155,19 +155,19 @@ def _raked_apart(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], b
             break
     out = cut(w.select(*DIMENSIONS, "tokens", (F.col("w") * total / F.col("tokens")).alias("factor")))
     low, high = 0.0, 1 / out.where("factor > 0").agg(F.min("factor")).first()[0]
-    for _ in range(50):  # bisection: one aggregate a step
+    for _ in range(40):  # bisection: one aggregate a step
         mid = (low + high) / 2
         got = out.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * mid))).first()[0]
         low, high = (mid, high) if got < budget * total else (low, mid)
     return out.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
 
 
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, most: int = CELLS) -> DataFrame:
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, most: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
     """measured(docs) with factor, probability and kept for every row."""
     x = measured(docs)
     cells = cut(x.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     few = cells.count() <= most
-    table_ = (_raked_here if few else _raked_apart)(cells, targets or {}, budget)
+    table_ = (_raked_here if few else _raked_apart)(cells, targets or {}, budget, rounds)
     out = x.join(F.broadcast(table_) if few else table_, list(DIMENSIONS), "left")
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     return out.withColumns({"factor": F.when(F.col("tokens") > 0, F.coalesce("factor", F.lit(0.0))).otherwise(0.0), "probability": p}).withColumn("kept", F.col("u") < F.col("probability"))
