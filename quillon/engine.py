@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
@@ -71,9 +71,7 @@ def card(query: str) -> list[Column]:
     ]
 
 
-def _all():
-    from pyspark.sql import Window
-
+def _all() -> WindowSpec:
     return Window.partitionBy()  # of one page of hits
 
 

@@ -1,4 +1,4 @@
-"""All queries over the reference's own operators, and the SQL each is held against.
+"""All queries of the search engine, and the SQL each is held against.
 
 The table documents plays the corpus: doc_id is the place of a document, text its abstract. Queries that SQL can express run
 without stemming, which SQL lacks; those with stems, folds and models have no SQL and are held by tests.
