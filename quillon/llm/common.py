@@ -1,31 +1,19 @@
-"""What the training-data operators share: reading tables, cutting lineage, components of a graph."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillon.operators.graph import components, cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["bounded", "components", "cut", "release", "shared_folder", "sifted", "table", "with_types"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder, so a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -57,25 +45,3 @@ def sifted(df: DataFrame, hashed: str, ids: DataFrame, bits: int = 26, mark: str
 def with_types(df: DataFrame, **types: str) -> DataFrame:
     """Only these columns, cast to these types; whatever else the table holds, also under clashing names, is left out."""
     return df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", node_type: str = "long") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
-
-    edges: two columns of nodes. Returns (node, root), root being the smallest node of the component; nodes in no edge
-    between different nodes are absent. Every step is a shuffle of at most the edges; the driver sees two numbers a round.
-    """
-    e = edges.select(F.col(a).cast(node_type).alias("u"), F.col(b).cast(node_type).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = cut(e), None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # every larger neighbour to the least
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast(T.DecimalType(38, 0)))).first())
-        if now == before:
-            break
-        before = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
