@@ -25,11 +25,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result goes as Parquet to the shared folder and is read again as the next stage's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result goes as Parquet to the shared folder and is read again as the next stage's docs.
+
+    A result is deleted once the next one stands.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, function) in enumerate(STAGES):
-        function(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        here = f"{folder}/{k}-{name}"
+        function(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            _delete(spark, before)
+        before = here
     return docs
