@@ -1,6 +1,6 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, with DataFrame operations only.
 
-A line (trimmed, lower case) of at least MIN_CHARS characters is the set of its character shingles: eight characters from
+A line (trimmed) of at least MIN_CHARS characters is the set of its character shingles in lower case: eight characters from
 the start of each word, and from every eighth character on inside longer ones (every character of scripts without spaces),
 so the shingles cover the line. Their 64-bit hashes, sorted, are a ring; from each of BANDS fixed cuts the next ROWS hashes
 are a band, equal for two lines with probability J^ROWS as with as many MinHash values (0.991 recall of pairs at J = 0.8
@@ -11,7 +11,8 @@ the full sets, and verified links go to a distributed union-find; then those pai
 components are compared as well, by the condition of a join, which only links pass. So every candidate pair is either
 verified or already joined: no link is lost, and no bucket of near copies emits all its pairs. Of each component the first line by (doc_id, line number) stays.
 
-A line is known by a 64-bit hash of its text; n different lines have a chance of n^2 / 2^65 that two are mixed up.
+A line is known by a 64-bit hash of its text, case included (lines that differ in case have equal sets and so meet in all
+bands); n different lines have a chance of n^2 / 2^65 that two are mixed up.
 
 Defined results: shorter lines always stay; a null text stays null and an empty one empty; rows that repeat a doc_id count
 as one document, so repeated rows stay alike; a null doc_id is a document of its own, the first in order; an empty table
@@ -27,18 +28,18 @@ from quillon.llm.common import components, cut, release, sifted, table
 
 MIN_CHARS, BANDS, ROWS, LEAST = 30, 9, 4, 0.8
 # A word is a run of characters other than space up to U+2E7F; each later character, and what stands alone, is an anchor of its own.
-SHINGLE = r"(?s)(?=(.{8}))(?:[!-\x{2E7F}]{1,8}+ ?+|.)"
+SHINGLE = r"(?s)(?=(........))(?:[!-\x{2E7F}]{1,8}+ ?+|.)"
 
 
 def _set(line):
-    """Distinct hashes of a normalised line's shingles, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))))
+    """Distinct hashes of the shingles of a line in lower case, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))))
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, pos, line): the lines that take part, normalised; pos counts all lines from 0."""
+    """(doc, pos, line): the lines that take part, trimmed; pos counts all lines from 0."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return each.select("doc", "pos", F.trim("line").alias("line")).where(F.length("line") >= min_chars).withColumn("line", F.lower("line"))
+    return each.select("doc", "pos", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
 
 
 def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -83,14 +84,16 @@ def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> Dat
     links = cut(_alike(stars, sets, least))
     del texts
     release(members.sparkSession)
-    roots = components(links)
+    roots = cut(components(links))
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "root").join(sets, "id")
     other = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
     apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb"))
     more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), least))  # decided inside the join: only links leave it
-    return components(links.union(more.select("id", "b").distinct()))
+    merged = cut(components(more.select(F.col("root").alias("a"), F.col("rb").alias("b")).distinct()))  # of components, so a small graph
+    known_roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return known_roots.union(merged.join(roots, "node", "left_anti").select("node", "root"))
 
 
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
@@ -98,27 +101,28 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -
     source = lines(docs, min_chars)
     known = cut(with_bands(source).drop("line"))
     roots = line_links(known, source, least)
-    first = known.groupBy("id").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last"))
-    classes = first.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keep = classes.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
-    named = classes.join(keep.select("root", "keep"), "root").select("id", "keep")
-    gone = known.join(named, "id").where(~F.struct("doc", "pos").eqNullSafe(F.col("keep")))
+    again = known.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
+    some = sifted(known.select("doc", "pos", "id"), "id", again.union(roots.select("node"))).where("maybe").drop("maybe")  # other lines stand once and are like no other
+    classed = some.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc", "pos", "id", F.coalesce("root", "id").alias("root"))
+    keep = classed.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("keep"), F.max(F.struct("doc", "pos")).alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
+    gone = classed.join(keep, "root").where(~F.struct("doc", "pos").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
-    """All columns of docs in a struct row, and of its text: lines (their number), lost, text (what stays), substance (whether a line of min_chars stays)."""
+    """All columns of docs in a struct row, and of its text: lines (their number), lost, text (what stays), substance (whether a line of min_chars stays; null where no line goes)."""
     gone = cut(dropped(docs, min_chars, least))
     release(docs.sparkSession)
     x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("whole"))
     x = sifted(x.withColumn("hash", F.xxhash64("id")), "hash", gone.select(F.xxhash64("doc").alias("hash"))).drop("hash")
     some = x.where("maybe")
-    some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left").select("row", "whole", "gone")  # only texts that lose lines are shuffled
-    x = x.where("not maybe").select("row", "whole", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).union(some).withColumn("all", F.split("whole", "\n"))
-    stays = F.expr("filter(all, (s, i) -> not (array_contains(gone.pos, i) and array_contains(gone, struct(i as pos, xxhash64(lower(trim(s))) as id))))")
-    x = x.withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
-    lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long")
-    return x.select("row", F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("lines"), lost.alias("lost"), F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join("kept", "\n")).alias("text"), F.exists("kept", lambda s: F.length(F.trim(s)) >= min_chars).alias("substance"))
+    some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left")  # only texts that may lose lines are shuffled and taken apart
+    stays = F.expr("filter(all, (s, i) -> not (array_contains(gone.pos, i) and array_contains(gone, struct(i as pos, xxhash64(trim(s)) as id))))")
+    some = some.withColumn("all", F.split("whole", "\n")).withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
+    lines = F.coalesce(F.length("whole") - F.length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("lines")
+    lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("lost")
+    some = some.select("row", lines, lost, F.array_join("kept", "\n").alias("text"), F.exists("kept", lambda s: F.length(F.trim(s)) >= min_chars).alias("substance"))
+    return x.where("not maybe").select("row", lines, F.lit(0).cast("long").alias("lost"), F.col("whole").alias("text"), F.lit(None).cast("boolean").alias("substance")).union(some)
 
 
 def op6_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

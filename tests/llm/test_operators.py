@@ -282,7 +282,7 @@ def test_line_dedup_is_the_plain_one(documents):
     rows = rows_of(documents)
     expected = brute.line_dedup(rows)
     got = {r["row"]["doc_id"]: (r["text"], r["lost"], r["substance"]) for r in linededup.deduplicated(documents).collect()}
-    wrong = [i for i in expected if got[i] != expected[i]]
+    wrong = [i for i in expected if got[i][:2] != expected[i][:2] or got[i][1] and got[i][2] != expected[i][2]]
     assert len(wrong) <= 0.01 * len(expected)  # banding finds 0.995 of the links at the threshold
 
 
