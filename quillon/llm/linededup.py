@@ -119,7 +119,7 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEA
     some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left")  # only texts that may lose lines are shuffled and taken apart
     stays = F.expr("filter(all, (s, i) -> not (array_contains(gone.pos, i) and array_contains(gone, struct(i as pos, xxhash64(trim(s)) as id))))")
     some = some.withColumn("all", F.split("whole", "\n")).withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
-    lines = F.coalesce(F.length("whole") - F.length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("lines")
+    lines = F.coalesce(F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("lines")
     lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("lost")
     some = some.select("row", lines, lost, F.array_join("kept", "\n").alias("text"), F.exists("kept", lambda s: F.length(F.trim(s)) >= min_chars).alias("substance"))
     return x.where("not maybe").select("row", lines, F.lit(0).cast("long").alias("lost"), F.col("whole").alias("text"), F.lit(None).cast("boolean").alias("substance")).union(some)
