@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, components, cut, table, with_types
+from quillon.llm.common import bounded, components, cut, sifted, table, with_types
 
 RADIUS = 4
 LEAF = 256
@@ -180,9 +180,12 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group. A doc_id that stands in several rows keeps one of them; rows without a doc_id stay."""
-    kept = cut(grouped(docs).where("doc_id = component_id").select("doc_id"))
-    ids = kept.distinct()
+    rows = cut(grouped(docs).where("doc_id is not null").select("doc_id", "component_id"))
+    gone = cut(rows.groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("gone"))
     named = docs.where("doc_id is not null")
-    if ids.count() < kept.count():
+    if rows.select("doc_id").distinct().count() < rows.count():
         named = named.dropDuplicates(["doc_id"])
-    return named.join(ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    x = named.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).withColumn("hash", F.xxhash64("id"))
+    x = sifted(x, "hash", gone.select(F.xxhash64("gone").alias("hash")))
+    some = x.where("maybe").join(gone, x["id"] == gone["gone"], "left_anti")  # other texts are not shuffled
+    return x.where("not maybe").select("row.*").union(some.select("row.*")).unionByName(docs.where("doc_id is null"))
