@@ -1,10 +1,11 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, with DataFrame operations only.
 
-A line (trimmed) of at least MIN_CHARS characters is the set of its character shingles in lower case: eight characters from
-the start of each word, and from every eighth character on inside longer ones (every character of scripts without spaces),
-so the shingles cover the line. Their 64-bit hashes, sorted, are a ring; from each of BANDS fixed cuts the next ROWS hashes
+A line (trimmed) of at least MIN_CHARS characters is the set of its shingles of eight characters in lower case, one from
+every character on. Their 64-bit hashes, sorted, are a ring; from each of BANDS fixed cuts the next ROWS hashes
 are a band, equal for two lines with probability J^ROWS as with as many MinHash values (0.991 recall of pairs at J = 0.8
-for nine bands of four, 0.998 at 0.85). A shingle is hashed once for all bands.
+for nine bands of four, 0.998 at 0.85). A shingle is hashed once for all bands. The cuts of a small ring give the same
+bands again and again, so a set of at most SMALL hashes has a band from each of its hashes on: of two such sets with J of 0.8 or
+more the m hashes not shared part 4m or more shared ones, so four shared ones stand in a row, and every such pair is found.
 
 Lines that share a band are candidates. In each bucket all lines are compared with one of them first, by exact Jaccard on
 the full sets, and verified links go to a distributed union-find; then those pairs of a bucket that are still in different
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import components, cut, release, sifted, table
 
-MIN_CHARS, BANDS, ROWS, LEAST = 30, 9, 4, 0.8
-# A word is a run of characters other than space up to U+2E7F; each later character, and what stands alone, is an anchor of its own.
-SHINGLE = r"(?s)(?=(........))(?:[!-\x{2E7F}]{1,8}+ ?+|.)"
+MIN_CHARS, BANDS, ROWS, LEAST, SMALL = 30, 9, 4, 0.8, 32
+SHINGLE = r"(?s)(?=(........))."  # one from every character on
 
 
 def _set(line):
@@ -42,55 +42,56 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return each.select("doc", "pos", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
 
 
-def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Adds id, the line's hash, n, the size of its set, and k0, k1, ...: a hash for each band, null where it repeats another or the set is empty."""
+def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """Adds id, the line's hash, n, the size of its set, and keys, the different hashes of its bands; null if the set is empty."""
     cuts = [-(1 << 63) + i * ((1 << 64) // bands) for i in range(bands)]
-    ring = x.withColumn("id", F.xxhash64("line")).withColumn("ring", _set(F.col("line")))
+    ring = x.withColumn("id", F.xxhash64("line")).withColumn("ring", _set(F.col("line"))).withColumn("n", F.size("ring"))
     ring = ring.withColumn("all", F.sort_array(F.concat("ring", F.array(*[F.lit(c) for c in cuts])))).withColumn("twice", F.concat("ring", F.slice("ring", 1, rows)))
-    keys = F.array(*[F.xxhash64(F.slice("twice", (F.array_position("all", F.lit(c)) - i).cast("int"), rows)) for i, c in enumerate(cuts)])
-    ring = ring.withColumn("n", F.size("ring")).withColumn("keys", F.when(F.col("n") > 0, F.array_distinct(keys)))
-    return ring.select(*x.columns, "id", "n", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(bands)])
+    starts = F.array(*[(F.array_position("all", F.lit(c)) - i).cast("int") for i, c in enumerate(cuts)])
+    starts = F.when(F.col("n") > small, starts).when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))
+    return ring.select(*x.columns, "id", "n", F.array_distinct(F.transform(starts, lambda p: F.xxhash64(F.slice("twice", p, rows)))).alias("keys"))
 
 
-def _same(a, b, least: float):
-    """Whether two sets have a Jaccard index of `least` or more; sizes that rule it out are looked at first."""
-    na, nb = F.size(a), F.size(b)
-    # common / (na + nb - common) >= least, with the costly term once
-    return (F.least(na, nb) >= least * F.greatest(na, nb)) & (F.size(F.array_intersect(a, b)) >= (na + nb) * (least / (1 + least)) - 1e-9)
+def _near(na, nb, least: float):
+    """Whether the sizes of two sets allow a Jaccard index of `least`."""
+    return F.least(na, nb) >= least * F.greatest(na, nb)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of line ids whose sets are alike."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return x.where(_same(F.col("sa"), F.col("sb"), least)).select("a", "b")
+def _same(a, b, both, least: float):
+    """Whether two sets, together of size `both`, have a Jaccard index of `least` or more."""
+    return F.size(F.array_intersect(a, b)) >= both * (least / (1 + least)) - 1e-9  # common / (both - common) >= least
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b, both) of line ids whose sets are alike. Lines are joined, which are shorter than their sets."""
+    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    return x.where(_same(_set(F.col("la")), _set(F.col("lb")), F.col("both"), least)).select("a", "b")
 
 
 def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, root): components of different lines that are alike. known: id, n, k0, ...; source: lines to take the sets from."""
-    bands = [c for c in known.columns if c[0] == "k" and c[1:].isdigit()]
-    once = known.select("id", "n", *bands).distinct()  # a line that stands a million times goes on once
-    rows = once.select("id", "n", F.explode(F.array(*bands)).alias("key")).where("key is not null").repartition("key")
+    """(node, root): components of different lines that are alike. known: id, n, keys; source: lines to take the sets from."""
+    once = known.select("id", "n", "keys").distinct()  # a line that stands a million times goes on once
+    rows = once.select("id", "n", F.explode("keys").alias("key")).repartition("key")
     ends = rows.groupBy("key").agg(F.min(F.xxhash64("key", "id")).alias("low"), F.max(F.xxhash64("key", "id")).alias("high"), F.max("n").alias("most")).where("low <> high")
     # the condition on n holds always; with it both sides read the same columns, so their exchange is made once
     members = cut(rows.join(ends.select("key", "low", "most").hint("shuffle_hash"), "key").where("n <= most").select("key", "low", "id", "n"))
     del once, rows, ends
     release(members.sparkSession)
     heads = members.where(F.xxhash64("key", "id") == F.col("low")).select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.least("n", "nb") >= least * F.greatest("n", "nb")) & (F.col("id") != F.col("b"))
-    stars = cut(members.join(heads, "key").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+    near = _near(F.col("n"), F.col("nb"), least) & (F.col("id") != F.col("b"))
+    stars = cut(members.join(heads, "key").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
     wanted = members.select("id").distinct()
     texts = sifted(source.withColumn("id", F.xxhash64("line")), "id", wanted).where("maybe").join(wanted, "id", "left_semi")
-    sets = cut(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", _set(F.col("line")).alias("set")))
-    links = cut(_alike(stars, sets, least))
-    del texts
+    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
+    links = cut(_alike(stars, texts, least))
     release(members.sparkSession)
     roots = cut(components(links))
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "root").join(sets, "id")
-    other = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
-    apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb"))
-    more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), least))  # decided inside the join: only links leave it
+    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "n", "root").join(texts.select("id", _set(F.col("line")).alias("set")), "id")
+    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("set").alias("sb"))
+    apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _near(F.col("n"), F.col("nb"), least)
+    more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), F.col("n") + F.col("nb"), least))  # decided inside the join: only links leave it
     merged = cut(components(more.select(F.col("root").alias("a"), F.col("rb").alias("b")).distinct()))  # of components, so a small graph
     known_roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     return known_roots.union(merged.join(roots, "node", "left_anti").select("node", "root"))

@@ -306,6 +306,22 @@ def test_line_dedup_of_a_large_family(spark):
     assert [r["row"]["doc_id"] for r in got if r["text"]] == [0]
 
 
+def test_lines_that_end_in_other_numbers_stay(spark):
+    rows = [(1, "Order number for customer account 12345"), (2, "Order number for customer account 67890")]
+    got = {r["row"]["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
+def test_small_sets_share_a_band(spark):
+    rng, sets = random.Random(5), []
+    for k in range(300):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randint(16, 38))).replace(" ", "x")
+        sets += [(2 * k, line), (2 * k + 1, line[: len(line) - (len(line) - 7) // 5])]  # J is 0.8 or a little more
+    bands = {r["doc"]: r for r in linededup.with_bands(spark.createDataFrame(sets, "doc long, line string")).collect()}
+    assert all(bands[2 * k + 1]["n"] >= 0.8 * bands[2 * k]["n"] for k in range(300))
+    assert all(set(bands[2 * k]["keys"]) & set(bands[2 * k + 1]["keys"]) for k in range(300))
+
+
 def test_line_stage_odd_rows(spark, odd, none):
     got = linededup.stage(spark, odd, SF).collect()
     assert linededup.stage(spark, odd, SF).columns == odd.columns
