@@ -13,9 +13,9 @@ components are compared as well, by the condition of a join, which only links pa
 verified or already joined: no link is lost, and no bucket of near copies emits all its pairs. Of each component the first line by (doc_id, line number) stays.
 
 A line is known by a 64-bit hash of its text, case included (lines that differ in case have equal sets and so meet in all
-bands); n different lines have a chance of n^2 / 2^65 that two are mixed up.
+bands). Lines too short for a shingle are alike if they are equal, but for case: theirs is the hash in lower case. n different lines have a chance of n^2 / 2^65 that two are mixed up.
 
-Defined results: shorter lines always stay; a null text stays null and an empty one empty; rows that repeat a doc_id count
+Defined results: lines of white space only, and those shorter than MIN_CHARS, always stay; a null text stays null and an empty one empty; rows that repeat a doc_id count
 as one document, so repeated rows stay alike; a null doc_id is a document of its own, the first in order; an empty table
 gives an empty result; columns beside doc_id and text pass through untouched, whatever their names.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import components, cut, release, sifted, table
 
-MIN_CHARS, BANDS, ROWS, LEAST, SMALL = 30, 9, 4, 0.8, 32
+MIN_CHARS, BANDS, ROWS, LEAST, SMALL, WIDTH = 1, 9, 4, 0.8, 32, 8
 SHINGLE = r"(?s)(?=(........))."  # one from every character on
 
 
@@ -36,16 +36,21 @@ def _set(line):
     return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))))
 
 
+def _id(line):
+    """The hash that a trimmed line is known by."""
+    return F.xxhash64(F.when(F.length(line) < WIDTH, F.lower(line)).otherwise(line))
+
+
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, pos, line): the lines that take part, trimmed; pos counts all lines from 0."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return each.select("doc", "pos", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
+    return each.select("doc", "pos", F.trim("line").alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
 
 
 def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """Adds id, the line's hash, n, the size of its set, and keys, the different hashes of its bands; null if the set is empty."""
     cuts = [-(1 << 63) + i * ((1 << 64) // bands) for i in range(bands)]
-    ring = x.withColumn("id", F.xxhash64("line")).withColumn("ring", _set(F.col("line"))).withColumn("n", F.size("ring"))
+    ring = x.withColumn("id", _id(F.col("line"))).withColumn("ring", _set(F.col("line"))).withColumn("n", F.size("ring"))
     ring = ring.withColumn("all", F.sort_array(F.concat("ring", F.array(*[F.lit(c) for c in cuts])))).withColumn("twice", F.concat("ring", F.slice("ring", 1, rows)))
     starts = F.array(*[(F.array_position("all", F.lit(c)) - i).cast("int") for i, c in enumerate(cuts)])
     starts = F.when(F.col("n") > small, starts).when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))
@@ -81,14 +86,15 @@ def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> Dat
     near = _near(F.col("n"), F.col("nb"), least) & (F.col("id") != F.col("b"))
     stars = cut(members.join(heads, "key").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
     wanted = members.select("id").distinct()
-    texts = sifted(source.withColumn("id", F.xxhash64("line")), "id", wanted).where("maybe").join(wanted, "id", "left_semi")
+    texts = sifted(source.withColumn("id", _id(F.col("line"))), "id", wanted).where("maybe").join(wanted, "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
     links = cut(_alike(stars, texts, least))
     release(members.sparkSession)
     roots = cut(components(links))
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "n", "root").join(texts.select("id", _set(F.col("line")).alias("set")), "id")
+    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "n", "root").join(texts, "id").repartition("key")
+    open_ = open_.withColumn("set", _set(F.col("line"))).drop("line")  # after the exchange, which carries lines
     other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("set").alias("sb"))
     apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _near(F.col("n"), F.col("nb"), least)
     more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), F.col("n") + F.col("nb"), least))  # decided inside the join: only links leave it
@@ -118,7 +124,7 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEA
     x = sifted(x.withColumn("hash", F.xxhash64("id")), "hash", gone.select(F.xxhash64("doc").alias("hash"))).drop("hash")
     some = x.where("maybe")
     some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left")  # only texts that may lose lines are shuffled and taken apart
-    stays = F.expr("filter(all, (s, i) -> not (array_contains(gone.pos, i) and array_contains(gone, struct(i as pos, xxhash64(trim(s)) as id))))")
+    stays = F.filter("all", lambda s, i: ~(F.array_contains("gone.pos", i) & F.array_contains("gone", F.struct(i.alias("pos"), _id(F.trim(s)).alias("id")))))
     some = some.withColumn("all", F.split("whole", "\n")).withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
     lines = F.coalesce(F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("lines")
     lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("lost")

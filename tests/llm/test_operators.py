@@ -322,6 +322,12 @@ def test_small_sets_share_a_band(spark):
     assert all(set(bands[2 * k]["keys"]) & set(bands[2 * k + 1]["keys"]) for k in range(300))
 
 
+def test_short_lines_take_part(spark):
+    rows = [(1, "All rights reserved.\nYes.\n\n\t\nown"), (2, "All rights reserved.\nYES.\n\n\t\nother"), (3, "All rights reserved!\nYes?\nOwn")]
+    got = {r["row"]["doc_id"]: (r["text"], r["lost"]) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n\t\nother", 2), 3: ("Yes?", 2)}
+
+
 def test_line_stage_odd_rows(spark, odd, none):
     got = linededup.stage(spark, odd, SF).collect()
     assert linededup.stage(spark, odd, SF).columns == odd.columns
