@@ -138,6 +138,6 @@ def op6_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand elsewhere first. A document that lost lines and has none of min_chars left is gone: all of it is elsewhere."""
-    x = deduplicated(docs).where("lost = 0 or substance")
+    """Texts without the lines that stand elsewhere first. A document that lost lines is gone if only white space is left: all of it is elsewhere."""
+    x = deduplicated(docs).where((F.col("lost") == 0) | F.col("text").rlike(r"\S"))
     return x.select(*[F.col("text").alias(c) if c == "text" else F.length("text").cast(t).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c, t in docs.dtypes])

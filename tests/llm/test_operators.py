@@ -341,6 +341,13 @@ def test_line_stage_odd_rows(spark, odd, none):
     assert linededup.stage(spark, none, SF).count() == 0
 
 
+def test_line_stage_keeps_what_stands_nowhere_else(spark):
+    shared = "a boilerplate line of many words that stands in both of the texts"
+    rows = [(1, f"{shared}\nfirst poem"), (2, f"{shared}\nother verse\n"), (3, f"{shared}\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.stage(spark, docs, SF).collect()} == {1: rows[0][1], 2: "other verse\n"}
+
+
 # 7: benchmark
 
 
