@@ -1,13 +1,14 @@
 """Personal data (operator 5): base patterns and bootstrapped contextual extraction.
 
-The spans of the base patterns are the seed entities. Their contexts (the word before and the word after) together with
-the shape of the entity are lexical patterns. Spark scores the graph of patterns and instances in rounds: an instance is as
+The spans of the base patterns are the seed entities. Their contexts (the word before and the word after) are lexical
+patterns, whatever the shape of the entity, so a context learnt from seeds finds values of other shapes. Spark scores the graph of patterns and instances in rounds: an instance is as
 sure as the surest of its patterns, a pattern as sure as the share of sure instances among all that it matches, with
 smoothing; seeds count as sure, and a pattern needs support from different seeds. Patterns that end up above the threshold
 extract identifiers that no base pattern knows, and those that stand in sure contexts anywhere carry their confidence to
 further patterns in the next round.
 
-An instance is any run of non-space characters with a digit or an @ in it, stripped of punctuation at its ends, that no base
+An instance is any run of non-space characters with a digit or an @ in it, a row of numbers with a space between them
+(030 1234567) or an address spelt with (at), stripped of punctuation at its ends, of five characters or more, that no base
 span overlaps. Only such tokens and the spans leave the scan; texts are not shuffled.
 
 Defined results: a null or empty text has no span; repeated rows come back as often as they occur; an empty table gives an
@@ -37,7 +38,9 @@ IP = re.compile(r"(?<![0-9])" + _IP)
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+NUMBER = re.compile(r"[0-9().+/-]+")
+AT, ADDRESS = re.compile(r"[\[({]at[\])}]", re.I), re.compile(r"(?<!\S)\S+? ?[\[({]at[\])}] ?\S+(?: ?[\[({]dot[\])}] ?\S+)*", re.I)
 WORD_BEFORE, WORD_AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*(\S+)")
 EDGE = "\"'`()[]{}<>.,;:!?#$%&*|=~^/\\"
 
@@ -75,50 +78,63 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def shape(value: str) -> str:
-    """Classes of characters, runs joined, with the length of longer runs of digits: ab12-XY3456 is a0-A04."""
-    out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", value[:200], re.S):
-        x = m[0]
-        out.append(f"0{len(x)}" if x.isdecimal() and len(x) > 2 else "0" if x.isdecimal() else "A" if x.isupper() else "a" if x.isalpha() else x)
-    return "".join(out)[:32]
-
-
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
     left, right = WORD_BEFORE.search(text[max(0, a - 60) : a]), WORD_AFTER.match(text[b : b + 60])
     return (left[1].lower().strip(EDGE) or left[1] if left else "^"), (right[1].lower().strip(EDGE) or right[1] if right else "$")
 
 
+def _disjoint(spans: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b, *_ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _free(found: list[tuple[int, int]], taken: list[list[int]]) -> list[tuple[int, int]]:
+    """Those spans, in order, that overlap none of the taken ones."""
+    out, k = [], 0
+    for a, b in found:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            out.append((a, b))
+    return out
+
+
+def _stripped(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    values = [(a, text[a:b], text[a:b].strip(EDGE)) for a, b in spans]
+    return [(a + whole.index(v), a + whole.index(v) + len(v)) for a, whole, v in values if len(v) >= 5]
+
+
+def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of what may be an identifier beside the base spans."""
+    taken = _disjoint(spans)
+    spelt = _free(_stripped(text, [m.span() for m in ADDRESS.finditer(text)]), taken) if AT.search(text) else []
+    single = [m.span() for m in TOKEN.finditer(text)]
+    rows: list[tuple[int, int]] = []
+    number = False
+    for a, b in _free(single, _disjoint([*taken, *spelt])):
+        was, number = number, bool(NUMBER.fullmatch(text, a, b))
+        if was and number and text[rows[-1][1] : a] == " " and text[a - 2] != ".":
+            rows[-1] = rows[-1][0], b
+        else:
+            rows.append((a, b))
+    return sorted(spelt + _stripped(text, rows))
+
+
 def mentions(text: str) -> tuple[list[tuple[int, int, str]], list[dict]]:
     """The base spans, and all mentions with their contexts: seeds and candidates."""
     spans = base_spans(text)
-    out = [{"start": a, "end": b, "value": text[a:b][:200], "seed": True, **dict(zip(("left", "right"), _context(text, a, b), strict=True))} for a, b, _ in spans]
-    if "@" in text or DIGIT.search(text):
-        k = 0
-        merged: list[list[int]] = []
-        for a, b, _ in spans:
-            if merged and a < merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for m in TOKEN.finditer(text):
-            value = m[0].strip(EDGE)
-            if len(value) < 5:
-                continue
-            a = m.start() + m[0].index(value)
-            b = a + len(value)
-            while k < len(merged) and merged[k][1] <= a:
-                k += 1
-            if k < len(merged) and merged[k][0] < b:
-                continue
-            left, right = _context(text, a, b)
-            out.append({"start": a, "end": b, "value": value[:200], "seed": False, "left": left, "right": right})
-    for x in out:
-        x["shape"] = shape(x["value"])
-    return spans, out
-
-
-MENTION = "struct<start: long, end: long, value: string, seed: boolean, left: string, right: string, shape: string>"
+    found = [(a, b, True) for a, b, _ in spans]
+    if "@" in text or DIGIT.search(text) or AT.search(text):
+        found += [(a, b, False) for a, b in candidates(text, spans)]
+    return spans, [{"start": a, "end": b, "value": text[a:b][:200], "seed": seed, **dict(zip(("left", "right"), _context(text, a, b), strict=True))} for a, b, seed in found]
+
+
+MENTION = "struct<start: long, end: long, value: string, seed: boolean, left: string, right: string>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -135,11 +151,10 @@ def scanned(docs: DataFrame) -> DataFrame:
 def patterns(seen: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
     """(pattern, confidence) above the threshold, by rounds over the graph of patterns and instances.
 
-    seen: value, seed, left, right, shape. A pattern is the word before or after an instance, with the side and the
-    instance's shape. confidence = sum of its instances' scores / (their number + 1), over different instances; patterns
+    seen: value, seed, left, right. A pattern is the word before or after an instance, with the side. confidence = sum of its instances' scores / (their number + 1), over different instances; patterns
     with fewer than `support` sure instances are not trusted. Every round is an aggregate by instance and one by pattern.
     """
-    sides = F.explode(F.array(F.concat(F.lit("L:"), "left", F.lit("|"), "shape"), F.concat(F.lit("R:"), "right", F.lit("|"), "shape")))
+    sides = F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right")))
     graph = cut(seen.select("value", "seed", sides.alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
@@ -157,8 +172,8 @@ def found_spans(docs: DataFrame, rounds: int = 3, least: float = 0.5, support: i
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
     trusted = patterns(each, rounds, least, support)
     open_ = each.where("not seed")
-    left = open_.withColumn("pattern", F.concat(F.lit("L:"), "left", F.lit("|"), "shape"))
-    right = open_.withColumn("pattern", F.concat(F.lit("R:"), "right", F.lit("|"), "shape"))
+    left = open_.withColumn("pattern", F.concat(F.lit("L:"), "left"))
+    right = open_.withColumn("pattern", F.concat(F.lit("R:"), "right"))
     more = left.union(right).join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max("confidence").alias("confidence"))
     more = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "confidence"))).alias("more"))
     return rows.select("row", "doc_id", "base").join(more, "row", "left").drop("row")

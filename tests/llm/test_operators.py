@@ -260,6 +260,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert len(got) == len(rows)
 
 
+def test_contexts_find_other_shapes(spark):
+    seeds = [f"call +49 30 12345{k} today" for k in range(10, 18)] + [f"write {n}@example.org soon" for n in ("ann", "bob", "cleo", "dan")]
+    rest = ["call 030 1234567 today", "write eve (at) example (dot) org soon", "call 123-45-6789 again", "the 030 1234567 is"]
+    df = spark.createDataFrame(list(enumerate(seeds + rest)), "doc_id long, text string")
+    got = {r["doc_id"]: [rest[r["doc_id"] - 12][m["start"] : m["end"]] for m in r["more"] or []] for r in pii.found_spans(df).collect() if r["doc_id"] >= 12}
+    assert {k: got[k] for k in (12, 13, 14)} == {12: ["030 1234567"], 13: ["eve (at) example (dot) org"], 14: ["123-45-6789"]}
+
+
 def test_pii_query(spark, documents):
     got = {r["doc_id"]: r for r in registry.queries()["op5_contextual_pii"](spark, SF).collect()}
     for doc_id, text in rows_of(documents):
