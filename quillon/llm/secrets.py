@@ -1,6 +1,8 @@
 """Secret scans (operator 8): a random forest over candidates, with DataFrame and ML operations of the JVM only.
 
-A candidate is a long run of key characters, a quoted value that something is assigned to, or the head of a private key.
+A candidate is a long run of key characters, a value of at least eight characters that is assigned to a name with = or :
+(quoted, or unquoted up to white space or a quote, without closing punctuation), or the head of a private key. A run ends
+before the = or : of an assignment, so a value is judged with its name on the left.
 Its features are its length, its transitions between characters (changes of class, and how many pairs of letters are
 those of common words), the share that dictionary words cover, signs of a path, and the words before and after it. A
 forest, trained from labelled findings, removes the false positives.
@@ -27,7 +29,11 @@ from quillon.llm.common import cut, table, with_types
 
 FINDINGS, TREES, DEPTH, AROUND, LEAST = 4800, 30, 8, 60, 0.5
 
-CANDIDATE = r"""-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+|(?<=[=:][ ]?["'])[^\s"']{8,200}+(?=["'])"""
+CANDIDATE = (
+    r"""-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<=[=:][ ]?["'])[^\s"']{8,}+(?=["'])"""
+    r"""|(?<=[A-Za-z0-9_"'\])][ ]{0,2}[=:][ ]{0,4})(?!//)[^\s"']{7,}[^\s"',;.)\]}>]"""
+    r"""|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![^\s"'])|(?!["']?[ ]{0,2}[=:][ ]{0,4}["']?[^\s"']{8}))"""
+)
 
 # Common words of prose and of source code.
 DICTIONARY = tuple("the and that with from this have which there would about other value name file data test example config default user admin login client server service system class function return string number index list array object public static import export module package version build release update create delete select insert table column query result error warning info debug message response request handler manager factory controller model view action event state store cache session cookie page title content image style script button form input label text color width height http https www com org net html json path home local src lib bin main begin end your here key token secret password".split())
