@@ -8,7 +8,9 @@ it are counted; its composite density is
 (with 1 in the place of a zero), where l and C0 stand for the link characters and characters of the body. So text with few
 tags is dense, and links make it thin. The density sum of a node is the sum of its children's densities. The node with the
 largest density sum holds the article; the smallest density on the path from it up to the body is the threshold that its
-blocks have to reach, unless a block's text is mostly free of links. Elements that never hold an article (menus, headers,
+blocks have to reach, unless a block's text is mostly free of links. Unless an article or main element is around that node,
+the threshold holds for the whole body: each block element that reaches it adds the largest density sum below it, in the
+order of the page. Elements that never hold an article (menus, headers,
 footers, asides, forms, scripts, styles, notices, adverts, reader comments), known by tag, role, class or id, go first.
 
 Defined results: a null or empty page has an empty text; broken markup is repaired as browsers do in the common cases (an
@@ -226,6 +228,36 @@ def _blocks(top: Node, threshold: float) -> list[str]:
     return out
 
 
+def _tops(nodes: list[Node], best: Node, threshold: float) -> list[Node]:
+    """The subtrees that make up the text, in order: of each block at or above the threshold the node with the largest density sum."""
+    top = {}
+    for x in reversed(nodes):
+        top[x] = max((x, *(top[k] for k in x.kids if k in top)), key=lambda t: t.total)
+    out: list[Node] = []
+    path, chosen = set(), {best}
+
+    def mark(x: Node, end: Node) -> None:
+        while x is not end:
+            x = x.parent
+            path.add(x)
+
+    mark(best, nodes[0])  # the best node may lie outside a body
+    todo = [nodes[0]]
+    while todo:
+        x = todo.pop()
+        if x not in path and x not in chosen and x.tag in BLOCK and x.chars and x.density >= threshold:
+            t = top[x]
+            while t is not x and t.tag not in BLOCK:
+                t = t.parent
+            chosen.add(t)
+            mark(t, x)
+        if x in chosen:
+            out.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop]
+    return out
+
+
 def article(html: str | None) -> str:
     if not html:
         return ""
@@ -236,7 +268,8 @@ def article(html: str | None) -> str:
     while up is not None:
         threshold = min(threshold, up.density)
         up = None if up is body else up.parent
-    return "\n\n".join(_blocks(best, threshold))
+    tops = [best] if best.tag in KEEP else _tops(nodes, best, threshold)
+    return "\n\n".join(b for x in tops for b in _blocks(x, threshold))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -218,6 +218,13 @@ def test_extraction(html, expected):
     assert extract.article(html) == expected
 
 
+def test_an_article_in_two_containers():
+    half = lambda c: "".join(f"<p>{c}{k} {PARA}</p>" for k in range(3))
+    links = "<div>" + "".join(f"<p><a href=/{k}>Another page {k}</a></p>" for k in range(9)) + "</div>"
+    expected = "\n\n".join(f"{c}{k} {PARA}" for c in "ab" for k in range(3))
+    assert extract.article(f"<body>{links}<div>{half('a')}</div>{links}<div>{half('b')}</div>{links}</body>") == expected
+
+
 def test_extraction_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 0), (None, "u", "<p>x", 1), (2, "u", "<div>" * 20_000 + "deep", 2), (2, "u", "<div>" * 20_000 + "deep", 2)], "page_id long, url string, html string, text long")
     got = extract.extracted(df).collect()
