@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.graph import components, cut, shared_folder
+from quillon.operators.graph import Scratch, components, cut, delete_folder, salted_join, shared_folder
 
-__all__ = ["bounded", "components", "cut", "release", "shared_folder", "sifted", "table", "with_types"]
+__all__ = ["Scratch", "bounded", "components", "counted", "cut", "delete_folder", "salted_join", "shared_folder", "sifted", "table", "with_types"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +20,23 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as its cleaner does every half hour by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def counted(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): how often each key stands, as salted_join() wants it."""
+    return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def sifted(df: DataFrame, hashed: str, ids: DataFrame, bits: int = 26, mark: str = "maybe") -> DataFrame:
+def sifted(df: DataFrame, hashed: str, ids: DataFrame, bits: int | None = None, mark: str = "maybe") -> DataFrame:
     """Adds a flag that is true for every row whose `hashed`, a 64-bit hash, is among ids (one column) and false for most others.
 
-    A prefilter for joins: the ids become a bitmap of 2^bits bits, at most 8 MB by construction however many they are, which is broadcast.
+    A prefilter for joins: the ids become a bitmap of 2^bits bits, which is broadcast. Its size follows the number of ids (16 bits each,
+    8 KB to 128 MB); what more ids than 10^8 let through by chance the join after it removes.
     """
+    if bits is None:
+        bits = min(30, max(16, (16 * ids.count()).bit_length()))
     at = lambda c: F.pmod(c, F.lit(1 << bits))
     h = at(F.col(ids.columns[0]))
-    maps = ids.select((h / 32768).cast("int").alias("_b"), (h % 32768).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
-    x = df.withColumn("_h", at(F.col(hashed))).withColumn("_k", (F.col("_h") / 32768).cast("int"))
+    maps = ids.select(F.floor(h / 32768).cast("int").alias("_b"), (h % 32768).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    x = df.withColumn("_h", at(F.col(hashed))).withColumn("_k", F.floor(F.col("_h") / 32768).cast("int"))
     x = x.join(F.broadcast(maps), F.col("_k") == F.col("_b"), "left")
     bit = F.expr("shiftright(cast(conv(hex(substring(_m, cast((_h % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(_h % 8 as int)) & 1")
     return x.withColumn(mark, F.coalesce(bit == 1, F.lit(False))).drop("_h", "_k", "_b", "_m")

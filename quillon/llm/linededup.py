@@ -1,140 +1,329 @@
-"""Line dedup (operator 6): fuzzy lines by MinHash, with DataFrame operations only.
-
-A line (trimmed) of at least MIN_CHARS characters is the set of its shingles of eight characters in lower case, one from
-every character on. Their 64-bit hashes, sorted, are a ring; from each of BANDS fixed cuts the next ROWS hashes
-are a band, equal for two lines with probability J^ROWS as with as many MinHash values (0.991 recall of pairs at J = 0.8
-for nine bands of four, 0.998 at 0.85). A shingle is hashed once for all bands. The cuts of a small ring give the same
-bands again and again, so a set of at most SMALL hashes has a band from each of its hashes on: of two such sets with J of 0.8 or
-more the m hashes not shared part 4m or more shared ones, so four shared ones stand in a row, and every such pair is found.
-
-Lines that share a band are candidates. In each bucket all lines are compared with one of them first, by exact Jaccard on
-the full sets, and verified links go to a distributed union-find; then those pairs of a bucket that are still in different
-components are compared as well, by the condition of a join, which only links pass. So every candidate pair is either
-verified or already joined: no link is lost, and no bucket of near copies emits all its pairs. Of each component the first line by (doc_id, line number) stays.
-
-A line is known by a 64-bit hash of its text, case included (lines that differ in case have equal sets and so meet in all
-bands). Lines too short for a shingle are alike if they are equal, but for case: theirs is the hash in lower case. n different lines have a chance of n^2 / 2^65 that two are mixed up.
-
-Defined results: lines of white space only, and those shorter than MIN_CHARS, always stay; a null text stays null and an empty one empty; rows that repeat a doc_id count
-as one document, so repeated rows stay alike; a null doc_id is a document of its own, the first in order; an empty table
-gives an empty result; columns beside doc_id and text pass through untouched, whatever their names.
+"""Line dedup (operator 6): fuzzy lines by MinHash.
+
+A line (trimmed of spaces) is the set of its shingles of eight characters in lower case, one from every character on; a line of
+fewer characters is one shingle. Forty independent minima over the set make its signature, ten bands of four its keys: two
+lines with a Jaccard index of 0.8 share a key with probability 0.995, of 0.85 with 0.999, whatever their lengths. Lines that
+share a key are candidates. All lines of a bucket are compared with its first one, by exact Jaccard on the whole sets, and
+verified links go to a distributed union-find; then those lines of a bucket that are still in different components are
+compared with each other, in blocks. So every candidate pair is verified or already joined, no bucket of near copies emits its
+pairs, and no large bucket lands in one task. Of each component the first line by (doc_id, line number) stays.
+
+Shingles, signatures and Jaccard are Arrow-batched numpy: with DataFrame functions alone, every character's shingle is a string and
+an object (figures in the README). All else are DataFrame operations. A line is known by a 64-bit hash of its text: n different
+lines have a chance of n^2 / 2^65 that two are mixed up; shingles are compared by 48 bits.
+
+Defined results: lines of white space only always stay; a null text stays null and an empty one empty; rows that repeat a
+doc_id count as one document, so repeated rows stay alike; a null doc_id is a document of its own, the first in order; of
+rows of one doc_id that hold equal lines at one place, none loses it to another; an empty table gives an empty result;
+columns beside doc_id and text pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, cut, release, sifted, table
-
-MIN_CHARS, BANDS, ROWS, LEAST, SMALL, WIDTH = 1, 9, 4, 0.8, 32, 8
-SHINGLE = r"(?s)(?=(........))."  # one from every character on
-
-
-def _set(line):
-    """Distinct hashes of the shingles of a line in lower case, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))))
-
-
-def _id(line):
-    """The hash that a trimmed line is known by."""
-    return F.xxhash64(F.when(F.length(line) < WIDTH, F.lower(line)).otherwise(line))
-
-
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, pos, line): the lines that take part, trimmed; pos counts all lines from 0."""
+from quillon.llm.common import Scratch, bounded, components, counted, salted_join, sifted, table
+
+BANDS, ROWS, LEAST, WIDTH = 10, 4, 0.8, 8
+BLANK = " \t\n\x0b\x0c\r"
+BLOCK = 256  # lines of one bucket that are compared at once
+CHUNK = 1 << 16  # characters whose shingles are hashed at once
+SEEN = 1 << 20  # lines whose keys a task remembers to have given already
+
+_MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(6).integers(1, 1 << 32, 256)]
+
+
+def _windows(lines: list[str], kind: type, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the shingle from each character on, first shingle, number of shingles) of lines of `width` characters or more."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
+    step = 1
+    for a in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[: width.bit_length() - 1]:
+        h = h[:-step] * kind(a & np.iinfo(kind).max) + h[step:]
+        step *= 2
+    for by, a in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)) if kind is np.uint32 else ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h ^= h >> kind(by)
+        h *= kind(a)
+    return h, np.cumsum(sizes) - sizes, sizes - width + 1
+
+
+def _chunks(lines: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that hold about `most` characters together."""
+    start = size = 0
+    for k, x in enumerate(lines):
+        size += len(x)
+        if size >= most or k - start >= 60_000:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _short(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> np.ndarray:
+    """Keys of lines in lower case, one row for each line, one column for each band. A line of one shingle has one key in all columns."""
+    out = np.zeros((len(lines), bands), np.uint64)
+    long_ = [k for k, x in enumerate(lines) if len(x) >= width]
+    for k in {*range(len(lines))} - {*long_} if len(long_) < len(lines) else ():
+        out[k] = _short(lines[k])
+    for a, b in _chunks([lines[k] for k in long_]):
+        at = long_[a:b]
+        h, start, n = _windows([lines[k] for k in at], np.uint32, width)
+        ends = np.stack((start, start + n), axis=1).ravel()
+        h = np.append(h, np.uint32(0))  # so that the last end is a place
+        t, least = np.empty_like(h), np.empty((len(at), bands * rows), np.uint32)
+        for i in range(bands * rows):
+            np.multiply(h, np.uint32(_MULTIPLIERS[i]), out=t)
+            least[:, i] = np.minimum.reduceat(t, ends)[::2]
+        least = least.reshape(len(at), bands, rows).astype(np.uint64)
+        key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for r in range(rows):
+            key = _mixed(key ^ least[:, :, r]) + np.uint64(r + 1)
+        out[at] = key
+    return out
+
+
+def shingle_sets(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct shingles of lines in lower case, in order; hashes of 48 bits."""
+    owners, hashes = [], []
+    for a, b in _chunks(lines):
+        at = [k for k in range(a, b) if len(lines[k]) >= width]
+        keys = [np.array([((k - a) << 48) | (_short(lines[k]) >> 16) for k in range(a, b) if len(lines[k]) < width], np.uint64)]
+        if at:
+            h, start, n = _windows([lines[k] for k in at], np.uint64, width)
+            place = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+            keys.append((h[place] >> np.uint64(16)) | np.repeat((np.array(at) - a).astype(np.uint64) << np.uint64(48), n))
+        each = np.unique(np.concatenate(keys))
+        owners.append((each >> np.uint64(48)).astype(np.int64) + a)
+        hashes.append(each & np.uint64((1 << 48) - 1))
+    return (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def alike(a: list[str], b: list[str], least: float = LEAST) -> np.ndarray:
+    """For each pair of lines whether their sets have a Jaccard index of `least` or more."""
+    out = np.zeros(len(a), bool)
+    for lo, hi in _chunks([x if len(x) > len(y) else y for x, y in zip(a, b, strict=True)]):
+        n = hi - lo
+        owner, h = shingle_sets([x.lower() for x in a[lo:hi]] + [x.lower() for x in b[lo:hi]])
+        size = np.bincount(owner, minlength=2 * n)
+        pair = owner % n
+        order = np.lexsort((h, pair))
+        pair, h = pair[order], h[order]
+        both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=n)
+        out[lo:hi] = both >= (size[:n] + size[n:]) * (least / (1 + least)) - 1e-9  # both / (sum - both) >= least
+    return out
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of `left` has in common with each of `right`, as a matrix, by a product of incidence matrices."""
+    both = np.intersect1d(np.concatenate([sets[i] for i in left]), np.concatenate([sets[j] for j in right]))
+    m, wide = np.zeros((len(left), len(right)), np.float32), max(64, (1 << 20) // max(len(left), len(right)))
+    for k in range(0, len(both), wide):
+        some = both[k : k + wide]
+        cells = [np.stack([np.isin(some, sets[i], assume_unique=True) for i in side]).astype(np.float32) for side in (left, right)]
+        m += cells[0] @ cells[1].T
+    return m
+
+
+class Comparer:
+    """Compares the lines of buckets that are in different components, each two of them once as far as it remembers."""
+
+    def __init__(self, least: float = LEAST, most: int = SEEN) -> None:
+        self.least, self.most, self.done, self.linked = least, most, set(), set()
+
+    def links(self, key: np.ndarray, side: np.ndarray, ids: np.ndarray, roots: np.ndarray, lines: list[str], same: np.ndarray) -> list[tuple[int, int]]:
+        """Links between roots. Rows are sorted by key, the number of a bucket's pair of blocks; same: whether both are one block."""
+        names, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        owner, h = shingle_sets([lines[k].lower() for k in first])
+        sets = np.split(h, np.searchsorted(owner, np.arange(1, len(names))))
+        size, out = np.array([len(x) for x in sets]), []
+        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for a, b in zip(edges, np.append(edges[1:], len(key)), strict=True):
+            left = np.arange(a, b) if same[a] else a + np.flatnonzero(side[a:b] == 0)
+            right = left if same[a] else a + np.flatnonzero(side[a:b] == 1)
+            if not len(left) or not len(right):
+                continue
+            x, y = size[at[left]][:, None], size[at[right]][None, :]
+            open_ = (roots[left][:, None] != roots[right][None, :]) & (np.minimum(x, y) >= self.least * np.maximum(x, y))
+            i, j = np.nonzero(np.triu(open_) if same[a] else open_)
+            if len(i) > 64:
+                m = _common(sets, at[left], at[right])[i, j]
+            else:
+                m = np.array([-1 if (min(p, q), max(p, q)) in self.done else len(np.intersect1d(sets[s], sets[t], assume_unique=True)) for p, q, s, t in zip(ids[left[i]].tolist(), ids[right[j]].tolist(), at[left[i]], at[right[j]], strict=True)])
+                if len(self.done) > self.most:
+                    self.done.clear()
+                self.done.update((min(p, q), max(p, q)) for p, q in zip(ids[left[i]].tolist(), ids[right[j]].tolist(), strict=True))
+            good = m >= (size[at[left[i]]] + size[at[right[j]]]) * (self.least / (1 + self.least)) - 1e-9 if len(i) else np.zeros(0, bool)
+            out += zip(roots[left[i[good]]].tolist(), roots[right[j[good]]].tolist(), strict=True)
+        return list(set(out))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc, pos, id, line): the lines that take part, trimmed; pos counts all lines from 0."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return each.select("doc", "pos", F.trim("line").alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
-
-
-def with_bands(x: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """Adds id, the line's hash, n, the size of its set, and keys, the different hashes of its bands; null if the set is empty."""
-    cuts = [-(1 << 63) + i * ((1 << 64) // bands) for i in range(bands)]
-    ring = x.withColumn("id", _id(F.col("line"))).withColumn("ring", _set(F.col("line"))).withColumn("n", F.size("ring"))
-    ring = ring.withColumn("all", F.sort_array(F.concat("ring", F.array(*[F.lit(c) for c in cuts])))).withColumn("twice", F.concat("ring", F.slice("ring", 1, rows)))
-    starts = F.array(*[(F.array_position("all", F.lit(c)) - i).cast("int") for i, c in enumerate(cuts)])
-    starts = F.when(F.col("n") > small, starts).when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))
-    return ring.select(*x.columns, "id", "n", F.array_distinct(F.transform(starts, lambda p: F.xxhash64(F.slice("twice", p, rows)))).alias("keys"))
-
+    return each.select("doc", "pos", F.trim("line").alias("line")).where(F.col("line").rlike(r"\S")).select("doc", "pos", F.xxhash64("line").alias("id"), "line")
+
+
+def line_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seen: int = SEEN) -> DataFrame:
+    """(key, id) of each line; a task gives the keys of a line that stands many times once, as far as it remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            fresh: dict[int, str] = {}
+            for text in batch.column(0).to_pylist():
+                for line in text.split("\n") if text else ():
+                    if (line := line.strip(" ")) and line.strip(BLANK):
+                        name = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                        if name not in known and name not in fresh:
+                            fresh[name] = line.lower()
+            if len(known) + len(fresh) > seen:
+                known.clear()
+            known.update(fresh)
+            names = np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)
+            keys = band_keys(list(fresh.values()), bands, rows).view(np.int64)
+            one = keys[:, :1] == keys[:, 1:2] if bands > 1 else np.ones((len(names), 1), bool)
+            give = np.concatenate((np.ones((len(names), 1), bool), ~one & np.ones((1, bands - 1), bool)), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(np.repeat(names, give.sum(axis=1)))], names=["key", "id"])
+
+    return bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "key long, id long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of line ids whose sets are alike; texts: id, line. Many pairs may share an a, so that side is salted."""
+
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(alike(a.tolist(), b.tolist(), least))
+
+    x = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    x = salted_join(x, texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a", counted(pairs, "a"))
+    return bounded(x).where(same("la", "lb")).select("a", "b")
+
+
+def _apart(open_: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between roots, of lines of one bucket in different components. open_: key, id, root, line.
+
+    A bucket of many lines is dealt out in blocks: each pair of blocks is a task's work of its own.
+    """
+    n = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    x = open_.join(n, "key").withColumn("b", F.pmod(F.col("id"), F.col("k")).cast("int"))
+    x = x.select("key", "id", "root", "line", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    x = x.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "root", "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compare = Comparer(least)
+
+        def links(rows: pd.DataFrame) -> pd.DataFrame:
+            group = rows[["key", "lo", "hi"]].to_numpy()
+            number = np.cumsum(np.append(True, (group[1:] != group[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
+            found = compare.links(number, rows["side"].to_numpy(), rows["id"].to_numpy(), rows["root"].to_numpy(), rows["line"].tolist(), (rows["lo"] == rows["hi"]).to_numpy()) if len(rows) else []
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        held = None
+        for batch in batches:  # sorted: all but the last group of a batch are whole
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows[["key", "lo", "hi"]].iloc[-1]
+            same = ((rows["key"] == last["key"]) & (rows["lo"] == last["lo"]) & (rows["hi"] == last["hi"])).to_numpy()
+            held = rows[same]
+            yield links(rows[~same])
+        if held is not None:
+            yield links(held)
+
+    return bounded(x.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")).mapInPandas(run, "a long, b long")
+
+
+def line_links(docs: DataFrame, scratch: Scratch, bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> DataFrame:
+    """(node, root): components of different lines that are alike, by the ids of lines."""
+    keys = line_keys(docs, bands, rows).repartition("key")
+    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    # the condition on high holds always; with it both sides read the same columns, so their exchange is made once
+    members = scratch.keep(keys.join(ends.hint("shuffle_hash"), "key").where("id <= high").select("key", "low", "id").distinct())
+    stars = scratch.keep(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = members.select("id").distinct()
+    some = sifted(lines(docs).select("id", "line"), "id", wanted).where("maybe").groupBy("id").agg(F.first("line").alias("line"))
+    texts = scratch.keep(some.join(wanted, "id", "left_semi"))
+    links = scratch.keep(_verified(stars, texts, least))
+    roots = scratch.keep(components(links, scratch=scratch))
+    placed = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = scratch.keep(placed.join(mixed, "key", "left_semi").join(texts, "id").select("key", "id", "root", "line"))
+    more = scratch.keep(_apart(open_, least).distinct())
+    merged = scratch.keep(components(more, scratch=scratch))  # of components, so a small graph
+    known = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    out = scratch.keep(known.union(merged.join(roots, "node", "left_anti").select("node", "root")))
+    scratch.drop(members, stars, texts, links, roots, open_, more, merged)
+    return out
 
-def _near(na, nb, least: float):
-    """Whether the sizes of two sets allow a Jaccard index of `least`."""
-    return F.least(na, nb) >= least * F.greatest(na, nb)
 
+def dropped(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
+    """(doc, gone): for each document that loses lines the array of (pos, id) of those."""
+    roots = line_links(docs, scratch, least=least)
+    known = scratch.keep(lines(docs).select("doc", "pos", "id"))
+    again = known.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
+    some = sifted(known, "id", again.union(roots.select("node"))).where("maybe").drop("maybe")  # other lines stand once and are like no other
+    classed = scratch.keep(salted_join(some, roots.withColumnRenamed("node", "id"), "id", counted(some, "id"), how="left").select("doc", "pos", "id", F.coalesce("root", "id").alias("root")))
+    keep = classed.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("keep"), F.max(F.struct("doc", "pos")).alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
+    gone = salted_join(classed, scratch.keep(keep.select("root", "keep")), "root", counted(classed, "root")).where(~F.struct("doc", "pos").eqNullSafe(F.col("keep")))
+    out = scratch.keep(gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone")))
+    scratch.drop(roots, known, classed)
+    return out
 
-def _same(a, b, both, least: float):
-    """Whether two sets, together of size `both`, have a Jaccard index of `least` or more."""
-    return F.size(F.array_intersect(a, b)) >= both * (least / (1 + least)) - 1e-9  # common / (both - common) >= least
 
+def without(text: str | None, pos: list[int] | None, ids: list[int] | None) -> tuple[str | None, int]:
+    """A text without the lines at these places that have these ids, and how many it lost."""
+    if text is None or pos is None or not len(pos):
+        return text, 0
+    goes = {(int(p), int(i)) for p, i in zip(pos, ids, strict=True)}
+    places, every = {p for p, _ in goes}, text.split("\n")
 
-def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b, both) of line ids whose sets are alike. Lines are joined, which are shorter than their sets."""
-    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return x.where(_same(_set(F.col("la")), _set(F.col("lb")), F.col("both"), least)).select("a", "b")
+    def stays(k: int, line: str) -> bool:
+        if k not in places:
+            return True
+        name = xxhash.xxh64_intdigest(line.strip(" ").encode("utf-8", "surrogatepass"), 42)
+        return (k, name - (1 << 64) if name >> 63 else name) not in goes
 
-
-def line_links(known: DataFrame, source: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, root): components of different lines that are alike. known: id, n, keys; source: lines to take the sets from."""
-    once = known.select("id", "n", "keys").distinct()  # a line that stands a million times goes on once
-    rows = once.select("id", "n", F.explode("keys").alias("key")).repartition("key")
-    ends = rows.groupBy("key").agg(F.min(F.xxhash64("key", "id")).alias("low"), F.max(F.xxhash64("key", "id")).alias("high"), F.max("n").alias("most")).where("low <> high")
-    # the condition on n holds always; with it both sides read the same columns, so their exchange is made once
-    members = cut(rows.join(ends.select("key", "low", "most").hint("shuffle_hash"), "key").where("n <= most").select("key", "low", "id", "n"))
-    del once, rows, ends
-    release(members.sparkSession)
-    heads = members.where(F.xxhash64("key", "id") == F.col("low")).select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = _near(F.col("n"), F.col("nb"), least) & (F.col("id") != F.col("b"))
-    stars = cut(members.join(heads, "key").where(near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
-    wanted = members.select("id").distinct()
-    texts = sifted(source.withColumn("id", _id(F.col("line"))), "id", wanted).where("maybe").join(wanted, "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
-    links = cut(_alike(stars, texts, least))
-    release(members.sparkSession)
-    roots = cut(components(links))
-    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "n", "root").join(texts, "id").repartition("key")
-    open_ = open_.withColumn("set", _set(F.col("line"))).drop("line")  # after the exchange, which carries lines
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("set").alias("sb"))
-    apart = (F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _near(F.col("n"), F.col("nb"), least)
-    more = open_.join(other, "key").where(apart & _same(F.col("set"), F.col("sb"), F.col("n") + F.col("nb"), least))  # decided inside the join: only links leave it
-    merged = cut(components(more.select(F.col("root").alias("a"), F.col("rb").alias("b")).distinct()))  # of components, so a small graph
-    known_roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    return known_roots.union(merged.join(roots, "node", "left_anti").select("node", "root"))
+    out = [line for k, line in enumerate(every) if stays(k, line)]
+    return "\n".join(out), len(every) - len(out)
 
 
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
-    """(doc, gone): for each document that loses lines the array of (pos, id) of those."""
-    source = lines(docs, min_chars)
-    known = cut(with_bands(source).drop("line"))
-    roots = line_links(known, source, least)
-    again = known.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
-    some = sifted(known.select("doc", "pos", "id"), "id", again.union(roots.select("node"))).where("maybe").drop("maybe")  # other lines stand once and are like no other
-    classed = some.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc", "pos", "id", F.coalesce("root", "id").alias("root"))
-    keep = classed.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("keep"), F.max(F.struct("doc", "pos")).alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
-    gone = classed.join(keep, "root").where(~F.struct("doc", "pos").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
+def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """All columns of docs in a struct row, and of its text: n_lines, lost (lines) and text (what stays)."""
 
+    @F.pandas_udf("text string, lost long")
+    def rest(text: pd.Series, pos: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([without(t, p, i) for t, p, i in zip(text, pos, ids, strict=True)], columns=["text", "lost"])
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, least: float = LEAST) -> DataFrame:
-    """All columns of docs in a struct row, and of its text: lines (their number), lost, text (what stays), substance (whether a line of min_chars stays; null where no line goes)."""
-    gone = cut(dropped(docs, min_chars, least))
-    release(docs.sparkSession)
+    whole = F.col("whole")
+    n_lines = F.coalesce(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
+    gone = dropped(docs, Scratch(docs.sparkSession), least)
     x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("whole"))
     x = sifted(x.withColumn("hash", F.xxhash64("id")), "hash", gone.select(F.xxhash64("doc").alias("hash"))).drop("hash")
     some = x.where("maybe")
-    some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left")  # only texts that may lose lines are shuffled and taken apart
-    stays = F.filter("all", lambda s, i: ~(F.array_contains("gone.pos", i) & F.array_contains("gone", F.struct(i.alias("pos"), _id(F.trim(s)).alias("id")))))
-    some = some.withColumn("all", F.split("whole", "\n")).withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stays))
-    lines = F.coalesce(F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("lines")
-    lost = F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("lost")
-    some = some.select("row", lines, lost, F.array_join("kept", "\n").alias("text"), F.exists("kept", lambda s: F.length(F.trim(s)) >= min_chars).alias("substance"))
-    return x.where("not maybe").select("row", lines, F.lit(0).cast("long").alias("lost"), F.col("whole").alias("text"), F.lit(None).cast("boolean").alias("substance")).union(some)
+    some = bounded(some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left"))  # only texts that may lose lines are shuffled and taken apart
+    some = some.select("row", n_lines, rest("whole", F.col("gone.pos"), F.col("gone.id")).alias("r")).select("row", "n_lines", "r.lost", "r.text")
+    return x.where("not maybe").select("row", n_lines, F.lit(0).cast("long").alias("lost"), whole.alias("text")).union(some)
 
 
 def op6_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = deduplicated(table(spark, sf_dir, "documents"))
-    return x.select(F.col("row.doc_id").alias("doc_id"), F.col("lines").alias("n_lines"), F.col("lost").alias("n_dropped"), "text")
+    return x.select(F.col("row.doc_id").alias("doc_id"), "n_lines", F.col("lost").alias("n_dropped"), "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

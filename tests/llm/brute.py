@@ -1,13 +1,11 @@
 """Plain versions of the operators, over lists of (doc_id, text), without Spark."""
 
 import re
+from collections import Counter, defaultdict
 
-import regex
 import xxhash
 
-from quillon.llm import decontaminate, linededup
-
-PATTERN = regex.compile(linededup.SHINGLE.replace(r"\x{2E7F}", chr(0x2E7F)))
+from quillon.llm import decontaminate
 
 
 class Union:
@@ -49,21 +47,29 @@ def near_components(rows):
 
 
 def line_set(line):
-    return {m[1] for m in PATTERN.finditer(line)}
+    """Shingles of eight characters, one from every character on; a shorter line is one."""
+    line = line.lower()
+    return {line[i : i + 8] for i in range(len(line) - 7)} or {line}
+
+
+def alike_lines(names, least=0.8):
+    """All pairs of different lines with a Jaccard index of `least` or more, through an inverted index of all shingles."""
+    sets, having, out = [line_set(n) for n in names], defaultdict(list), set()
+    for k, s in enumerate(sets):
+        common = Counter(j for x in s for j in having[x])
+        out |= {(j, k) for j, both in common.items() if both >= least * (len(s) + len(sets[j]) - both)}
+        for x in s:
+            having[x].append(k)
+    return out
 
 
-def line_dedup(rows, min_chars=linededup.MIN_CHARS, least=linededup.LEAST):
-    """{doc_id: (text, lost, whether a long line stays)}, comparing all pairs of lines."""
-    places = [(i, k, line.strip(" ").lower()) for i, t in sorted(rows) if t is not None for k, line in enumerate(t.split("\n")) if len(line.strip(" ")) >= min_chars]
+def line_dedup(rows, least=0.8):
+    """{doc_id: (text, lost)}."""
+    places = [(i, k, line.strip(" ")) for i, t in sorted(rows) if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\x0b\x0c\r")]
     names = sorted({line for _, _, line in places})
-    sets = {n: line_set(n) for n in names}
     union = Union()
-    for a in names:
-        for b in names:
-            if a < b and sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])):
-                both = len(sets[a] & sets[b])
-                if both >= least * (len(sets[a]) + len(sets[b]) - both):
-                    union.join(a, b)
+    for a, b in alike_lines(names, least):
+        union.join(names[a], names[b])
     seen, gone = set(), set()
     for i, k, line in places:
         root = union.find(line)
@@ -74,7 +80,7 @@ def line_dedup(rows, min_chars=linededup.MIN_CHARS, least=linededup.LEAST):
     for i, t in rows:
         lines = [] if t is None else t.split("\n")
         kept = [line for k, line in enumerate(lines) if (i, k) not in gone]
-        out[i] = (None if t is None else "\n".join(kept), len(lines) - len(kept), any(len(x.strip(" ")) >= min_chars for x in kept))
+        out[i] = (None if t is None else "\n".join(kept), len(lines) - len(kept))
     return out
 
 

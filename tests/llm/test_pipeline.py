@@ -22,7 +22,7 @@ def test_run_is_the_plain_pipeline(spark):
     good = quality.score(model, np.array([quality.features(t) for t in rows["text"]])) >= 0.5
     rows = rows[good]
     lines = brute.line_dedup(list(rows["text"].items()))
-    rows = rows.loc[[i for i in rows.index if not lines[i][1] or lines[i][2]]].copy()
+    rows = rows.loc[[i for i in rows.index if not lines[i][1] or lines[i][0].strip()]].copy()
     rows["text"] = [lines[i][0] for i in rows.index]
     rows["n_chars"] = rows["text"].str.len()
     groups = brute.near_components(list(rows["text"].items()))
