@@ -23,16 +23,15 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, components, cut, sifted, table, with_types
+from quillon.llm.common import Scratch, bounded, components, counted, salted_join, sifted, table, with_types
 
 RADIUS = 4
 LEAF = 256
 #: A shard with more fingerprints than this is split further before one task gets it.
 SHARD = 100_000
-ROUNDS = 6
 SHELL = 6
 
 
@@ -52,15 +51,21 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42, step: int = 1
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def _row(docs: DataFrame):
+    """The hash that a row of documents is known by."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, row, fp): the fingerprint as a signed long; row is a hash of doc_id and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "fp": fp.view(np.int64)})
 
-    return bounded(with_types(docs, doc_id="long", text="string")).mapInPandas(run, "doc_id long, fp long")
+    x = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _row(docs).alias("row"))
+    return bounded(x).mapInPandas(run, "doc_id long, row long, fp long")
 
 
 def _walk(x: np.ndarray, radius: int, near) -> list[tuple[int, int]]:
@@ -120,58 +125,68 @@ def masks(n: int, radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for chosen in combinations(blocks, b - radius) for m in [sum(chosen)]]
 
 
-def _split(shards: DataFrame, most: int, radius: int, rounds: int) -> DataFrame:
-    """Splits shards of more than `most` fingerprints by vantage points of their own, into shells of distances that overlap by the radius."""
-    ready = None
-    for k in range(rounds):
+def _split(shards: DataFrame, most: int, radius: int, scratch: Scratch) -> DataFrame:
+    """Splits shards of more than `most` fingerprints by vantage points of their own, into shells of distances that overlap by the radius.
+
+    It ends when all shards are small, or when the largest no longer shrinks: fingerprints that lie so close are linked to most of the others.
+    """
+    ready, k, before = None, 0, None
+    while True:
         sizes = shards.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("v")).where(F.col("n") > most)
-        if sizes.isEmpty():
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest is None or before is not None and largest > 0.95 * before:
             break
-        hot = cut(shards.join(sizes, ["tree", "key"]))
+        hot = scratch.keep(shards.join(sizes, ["tree", "key"]))
         cold = shards.join(sizes, ["tree", "key"], "left_anti")
         ready = cold if ready is None else ready.union(cold)
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
         home = F.floor(d / SHELL).cast("long")
         shells = F.when(d >= (home + 1) * SHELL - radius, F.array(home, home + 1)).otherwise(F.array(home))
-        shards = cut(hot.select("tree", F.xxhash64("key", "v", F.lit(k)).alias("up"), "fp", F.explode(shells).alias("shell")).select("tree", F.xxhash64("up", "shell").alias("key"), "fp"))
+        shards = scratch.keep(hot.select("tree", F.xxhash64("key", "v", F.lit(k)).alias("up"), "fp", F.explode(shells).alias("shell")).select("tree", F.xxhash64("up", "shell").alias("key"), "fp"))
+        k, before = k + 1, largest
     return shards if ready is None else ready.union(shards)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints, a column fp: enough of them to join every pair within the radius."""
     x = fps.select("fp").distinct()
     trees = masks(max(1, x.count()), radius)
     shards = x.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(trees)])).alias("s")).select("s.tree", "s.key", "fp")
-    shards = _split(shards, shard, radius, ROUNDS)
+    shards = _split(shards, shard, radius, scratch or Scratch(fps.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(t: np.ndarray, k: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        def found(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            t, k, x = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in ("tree", "key", "fp"))
             at = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-            pairs = [p for group in np.split(x, at) if len(group) > 1 for p in tree_links(np.unique(group), radius)]
+            pairs = [p for group in np.split(x.view(np.uint64), at) if len(group) > 1 for p in tree_links(np.unique(group), radius)]
             got = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
             return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:  # sorted by shard: all but the last shard of a batch are whole
-            rows = batch if held is None else pd.concat([held, batch])
-            same = ((rows["tree"] == rows["tree"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])).to_numpy() if len(rows) else np.zeros(0, bool)
-            held, whole = rows[same], rows[~same]
-            if len(whole):
-                yield found(whole["tree"].to_numpy(), whole["key"].to_numpy(), whole["fp"].to_numpy().view(np.uint64))
-        if held is not None and len(held):
-            yield found(held["tree"].to_numpy(), held["key"].to_numpy(), held["fp"].to_numpy().view(np.uint64))
+            if not len(batch):
+                continue
+            same = ((batch["tree"] == batch["tree"].iloc[-1]) & (batch["key"] == batch["key"].iloc[-1])).to_numpy()
+            if same.all() and held and tuple(held[0][["tree", "key"]].iloc[-1]) == tuple(batch[["tree", "key"]].iloc[0]):
+                held.append(batch)  # one shard over several batches
+                continue
+            yield found([*held, batch[~same]])
+            held = [batch[same]]
+        yield found(held)
 
     return shards.repartition("tree", "key").sortWithinPartitions("tree", "key").mapInPandas(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS, words: int = 4, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp, component_id) for every row."""
-    rows = cut(fingerprints(docs, words))
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(first, radius, shard))
-    known = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+def grouped(docs: DataFrame, radius: int = RADIUS, words: int = 4, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
+    """(fp, doc_id, row, root, component_id) for every row; root is the smallest fingerprint of the component."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.keep(fingerprints(docs, words))
+    first = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    roots = scratch.keep(components(links(first, radius, shard, scratch), scratch=scratch))
+    known = scratch.keep(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    ids = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = scratch.keep(salted_join(known.select("root", "fp"), ids, "root", counted(known, "root")).select("fp", "root", "component_id"))
+    return salted_join(rows, named, "fp", first.select("fp", "n"))  # a third of all rows may have one fingerprint
 
 
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +194,24 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group. A doc_id that stands in several rows keeps one of them; rows without a doc_id stay."""
-    rows = cut(grouped(docs).where("doc_id is not null").select("doc_id", "component_id"))
-    gone = cut(rows.groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("gone"))
-    named = docs.where("doc_id is not null")
-    if rows.select("doc_id").distinct().count() < rows.count():
-        named = named.dropDuplicates(["doc_id"])
-    x = named.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).withColumn("hash", F.xxhash64("id"))
-    x = sifted(x, "hash", gone.select(F.xxhash64("gone").alias("hash")))
-    some = x.where("maybe").join(gone, x["id"] == gone["gone"], "left_anti")  # other texts are not shuffled
-    return x.where("not maybe").select("row.*").union(some.select("row.*")).unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each group: of those with the smallest doc_id the one whose fingerprint, then text, has the smallest hash.
+
+    A doc_id may stand in several rows: only those that are near copies are one group. Rows equal in doc_id and text are one document;
+    where other columns differ, the row with the smallest hash of all columns stays. Rows without a doc_id come last in a group.
+    """
+    scratch = Scratch(spark)
+    rows = scratch.keep(grouped(docs, scratch=scratch).select("doc_id", "fp", "row", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp", "row")
+    firsts = scratch.keep(rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("stays")).distinct())
+    each = rows.groupBy("row").agg(F.count("*").alias("times"))
+    marked = each.join(firsts, each["row"] == firsts["stays"], "left")
+    gone = scratch.keep(marked.where("stays is null").select("row"))
+    again = scratch.keep(marked.where("stays is not null and times > 1").select("row"))
+    scratch.drop(rows, firsts)
+    x = docs.select(F.struct(*docs.columns).alias("_doc"), _row(docs).alias("row"))
+    x = sifted(x, "row", gone.union(again))
+    some = x.where("maybe").join(gone, "row", "left_anti")  # other texts are not shuffled
+    single = some.join(again, "row", "left_anti")
+    least = Window.partitionBy("row").orderBy(F.xxhash64("_doc"))
+    twice = some.join(again, "row", "left_semi").withColumn("k", F.row_number().over(least)).where("k = 1")
+    return x.where("not maybe").select("_doc.*").union(single.select("_doc.*")).union(twice.select("_doc.*"))

@@ -541,11 +541,27 @@ def test_simhash_odd_rows(spark, odd, none):
     assert simhash.grouped(none).count() == 0
 
 
+def test_near_dedup_stage_keeps_unequal_rows_of_one_id(spark):
+    one, other, third = ("some words of the first text that nobody else has written", "another text with quite different words in it and no copy", "a third text, which stands under no number at all, but twice")
+    rows = [(1, one, "a"), (1, other, "b"), (2, one.upper(), "c"), (3, other, "d"), (1, one, "e"), (None, third, "f"), (None, third, "g"), (None, one, "h")]
+    got = [tuple(r) for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()]
+    assert sorted((i or 0, t) for i, t, _ in got) == sorted([(1, one), (1, other), (0, third)])
+
+
 # 10: licenses
 
 
+MIT = next(t for t, label in licenses.TEMPLATES if label == "mit-text")
+
+
+def labels_of(spark, texts):
+    """Labels by text through the operator."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [{s["label"] for s in r["found"]} for r in sorted(licenses.places(df).collect(), key=lambda r: r["doc_id"])]
+
+
 def test_licenses(spark, odd, none):
-    texts = {1: "Licensed under the Apache-License, Version 2.0. MIT license; mit license", 2: "GNU general\npublic license", 3: "gnu general secret license", 4: None, 5: "permission is hereby granted, free of charge, to any other person obtaining a copy of this software and associated documentation files (the software) to deal in the software without restriction", 6: "xmit license", 7: "CC BY"}
+    texts = {1: "Licensed under the Apache-License, Version 2.0. MIT license; mit license", 2: "GNU general\npublic license", 3: "gnu general secret license", 4: None, 5: MIT.replace("any person", "any other person").replace("restriction", "limits at all"), 6: "xmit license", 7: "CC BY"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("words", F.lit(1))
     df.write.mode("overwrite").parquet(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/lic/documents.parquet")
     got = {r["doc_id"]: r for r in registry.queries()["op10_license_diagonals"](spark, spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/lic").collect()}
@@ -561,6 +577,25 @@ def test_licenses(spark, odd, none):
     assert licenses.places(none).count() == 0
 
 
+def test_repeated_notices_keep_their_labels(spark):
+    got = labels_of(spark, ["released under the mit license", "released under the mit license" + " mit license" * 100, "All rights reserved. " * 40, "this wor\u212a is licensed under the gnu general secret license version 3"])
+    assert got == [{"mit", "mit-notice"}, {"mit", "mit-notice"}, {"all-rights-reserved"}, set()]
+
+
+def test_edited_license_texts(spark):
+    words = MIT.split()
+    moved = words[:20] + ["and", "more"] + words[20:40] + words[41:60] + ["also"] + words[60:]
+    got = labels_of(spark, [" ".join(moved), " ".join(words[: len(words) // 2]), " ".join(reversed(words)), MIT + " some words between " + MIT.upper()])
+    assert got == [{"mit-text"}, set(), set(), {"mit-text"}]
+
+
+def test_license_spans_of_a_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(100_000)) + " " + MIT + " " + " ".join(f"v{k}" for k in range(100_000))
+    (r,) = licenses.places(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    (span,) = r["found"]
+    assert (span["label"], span["first"], span["coverage"]) == ("mit-text", 100_000, 1.0)
+
+
 # shared parts
 
 
