@@ -5,8 +5,6 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-from quillon.llm import decontaminate
-
 
 class Union:
     def __init__(self):
@@ -85,17 +83,31 @@ def line_dedup(rows, least=0.8):
 
 
 def leaks(rows, items):
-    """{(doc_id, item_id)}: texts that hold 0.8 of an item's five-word shingles in any window of the operator's width."""
-    index = decontaminate.Index(items)
-    out = set()
+    """{(doc_id, item_id)}: texts of which some passage, a little longer than the longest item, holds 0.8 of an item's five-word shingles
+    and 0.2 of those of its question and of its answer, the last sentence."""
+    words_of = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w, n=5: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
+    known = []
+    for item_id, text in items:
+        words = words_of(text)
+        if words:
+            sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if words_of(s)]
+            split = len(words) - len(words_of(sentences[-1])) if len(sentences) > 1 else 0
+            g = grams(words)
+            known.append((item_id, len(words), set(g), set(g[:split]), {x for k, x in enumerate(g) if k + 5 > split}))
+    longest = max([32, *(n for _, n, *_ in known)])
+    width, out = longest + max(4, longest // 8), set()
     for i, t in rows:
-        words = decontaminate.words_of(t)
-        for x in index.items:
-            n = min(5, len(x.words))
-            for a in range(0, max(1, len(words) - index.width + index.step), index.step):
-                part = words[a : a + index.width]
-                have = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
-                whole, question, answer = x.overlaps(have)
-                if whole >= 0.8 and min(question, answer) >= decontaminate.PART_OVERLAP:
-                    out.add((i, x.item_id))
+        words = words_of(t)
+        for item_id, n, *sets in known:
+            at = [[g in s for g in grams(words, min(5, n))] for s in sets]
+            if sum(at[0]) < 0.8 * len(sets[0]):
+                continue
+            all_ = grams(words, min(5, n))
+            for a in range(max(1, len(words) - width + 1)):
+                have = set(all_[a : a + width - min(5, n) + 1])
+                share = [len(s & have) / len(s) if s else 1.0 for s in sets]
+                if share[0] >= 0.8 and min(share) >= 0.2:
+                    out.add((i, item_id))
+                    break
     return out

@@ -428,7 +428,7 @@ def test_block_max_wand_is_exact():
         terms = [index.terms[w] for w in words if w in index.terms]
         scores = {}
         for t in terms:
-            for d, v in index.postings[t]:
+            for d, v in zip(index.docs[t], index.values[t], strict=True):
                 scores[d] = scores.get(d, 0) + v
         assert {d for d, _ in index.search(terms)} == {d for d, s in scores.items() if s >= 1 - 1e-9}
 
@@ -439,8 +439,28 @@ def test_leak_odd_rows(spark, odd, none):
     assert got == {(None, 1), (1, None)}
     assert decontaminate.with_matches(none, items, "m").count() == 0
     assert decontaminate.with_matches(odd, items.where("false"), "m").where("size(m) > 0").count() == 0
-    parts = {(r["doc_id"], m["item_id"]) for r in decontaminate.with_matches(odd, items, "m", part=1).collect() for m in r["m"]}
-    assert parts == got
+    scores = [sorted((r["doc_id"] or 0, m["item_id"] or 0, round(m["score"], 9)) for r in decontaminate.with_matches(odd, items, "m", part=part).collect() for m in r["m"]) for part in (1, 2, 100)]
+    assert scores[0] == scores[1] == scores[2]
+    twice = items.union(items.where("item_id = 1")).union(spark.createDataFrame([(1, "Another line of this document here.")], items.schema))
+    got = [(r["doc_id"], m["item_id"]) for r in decontaminate.with_matches(odd, twice, "m").where("doc_id = 1 or doc_id is null").collect() for m in r["m"]]
+    assert sorted(got, key=str) == [(1, 1), (1, 1), (1, None), (1, None), (None, 1), (None, 1)]
+
+
+def test_passages_without_hope_are_the_only_ones_left_out():
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(80)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(5, 40)))) for k in range(50)]
+    index = decontaminate.Index(items)
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(1, 400))
+        a = rng.randrange(len(words))
+        texts.append(" ".join(words[:a] + rng.choice(items)[1].split() + words[a:]))
+    plain = decontaminate.Index(items)
+    plain._hopeful = lambda ids, bucket: {c: list(range(len(items))) for c in set(bucket.tolist()) | {c - 1 for c in bucket.tolist()}}
+    strip = lambda found: [sorted((m["item_id"], round(m["score"], 9), m["overlap"]) for m in ms) for ms in found]
+    assert strip(index.matches(texts)) == strip(plain.matches(texts))
+    assert {(i, m["item_id"]) for i, ms in enumerate(index.matches(texts)) for m in ms} == brute.leaks(list(enumerate(texts)), items)
 
 
 def test_a_leak_with_a_changed_word():
