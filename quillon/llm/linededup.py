@@ -3,7 +3,7 @@
 A line (trimmed of spaces) is the set of its shingles of eight characters in lower case, one from every character on; a line of
 fewer characters is one shingle. Forty independent minima over the set make its signature, ten bands of four its keys: two
 lines with a Jaccard index of 0.8 share a key with probability 0.995, of 0.85 with 0.999, whatever their lengths. Lines that
-share a key are candidates. All lines of a bucket are compared with its first one, by exact Jaccard on the whole sets, and
+share a key are candidates, but for those whose signatures agree in less than half of what such an index makes likely. All lines of a bucket are compared with its first one, by exact Jaccard on the whole sets, and
 verified links go to a distributed union-find; then those lines of a bucket that are still in different components are
 compared with each other, in blocks. So every candidate pair is verified or already joined, no bucket of near copies emits its
 pairs, and no large bucket lands in one task. Of each component the first line by (doc_id, line number) stays.
@@ -34,7 +34,7 @@ from quillon.llm.common import Scratch, bounded, components, counted, salted_joi
 BANDS, ROWS, LEAST, WIDTH = 10, 4, 0.8, 8
 BLANK = " \t\n\x0b\x0c\r"
 BLOCK = 256  # lines of one bucket that are compared at once
-CHUNK = 1 << 16  # characters whose shingles are hashed at once
+CHUNK = 1 << 17  # characters whose shingles are hashed at once
 SEEN = 1 << 20  # lines whose keys a task remembers to have given already
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(6).integers(1, 1 << 32, 256)]
@@ -76,29 +76,38 @@ def _short(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> np.ndarray:
-    """Keys of lines in lower case, one row for each line, one column for each band. A line of one shingle has one key in all columns."""
-    out = np.zeros((len(lines), bands), np.uint64)
+def signatures(lines: list[str], size: int = BANDS * ROWS, width: int = WIDTH) -> np.ndarray:
+    """Minima of `size` hash functions over the shingles of lines in lower case, one row for each line. Those of a line of one shingle are that one's hash."""
+    out = np.empty((len(lines), size), np.uint32)
     long_ = [k for k, x in enumerate(lines) if len(x) >= width]
-    for k in {*range(len(lines))} - {*long_} if len(long_) < len(lines) else ():
-        out[k] = _short(lines[k])
+    if len(long_) < len(lines):
+        for k in set(range(len(lines))).difference(long_):
+            out[k] = _short(lines[k]) >> 32
     for a, b in _chunks([lines[k] for k in long_]):
         at = long_[a:b]
         h, start, n = _windows([lines[k] for k in at], np.uint32, width)
         ends = np.stack((start, start + n), axis=1).ravel()
         h = np.append(h, np.uint32(0))  # so that the last end is a place
-        t, least = np.empty_like(h), np.empty((len(at), bands * rows), np.uint32)
-        for i in range(bands * rows):
+        t, least = np.empty_like(h), np.empty((size, len(at)), np.uint32)
+        for i in range(size):
             np.multiply(h, np.uint32(_MULTIPLIERS[i]), out=t)
-            least[:, i] = np.minimum.reduceat(t, ends)[::2]
-        least = least.reshape(len(at), bands, rows).astype(np.uint64)
-        key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(rows):
-            key = _mixed(key ^ least[:, :, r]) + np.uint64(r + 1)
-        out[at] = key
+            least[i] = np.minimum.reduceat(t, ends)[::2]
+        out[at] = least.T
     return out
 
 
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> np.ndarray:
+    """Keys of lines in lower case, one row for each line, one column for each band. A line of one shingle has one key in all columns."""
+    least = signatures(lines, bands * rows, width).reshape(len(lines), bands, rows).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(rows):
+        key = _mixed(key ^ least[:, :, r]) + np.uint64(r + 1)
+    for k, x in enumerate(lines):
+        if len(x) < width:
+            key[k] = _short(x)
+    return key
+
+
 def shingle_sets(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of the distinct shingles of lines in lower case, in order; hashes of 48 bits."""
     owners, hashes = [], []
@@ -109,69 +118,68 @@ def shingle_sets(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
             h, start, n = _windows([lines[k] for k in at], np.uint64, width)
             place = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
             keys.append((h[place] >> np.uint64(16)) | np.repeat((np.array(at) - a).astype(np.uint64) << np.uint64(48), n))
-        each = np.unique(np.concatenate(keys))
+        each = np.concatenate(keys)
+        each.sort()
+        each = each[np.append(True, each[1:] != each[:-1])[: len(each)]]
         owners.append((each >> np.uint64(48)).astype(np.int64) + a)
         hashes.append(each & np.uint64((1 << 48) - 1))
     return (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def alike(a: list[str], b: list[str], least: float = LEAST) -> np.ndarray:
-    """For each pair of lines whether their sets have a Jaccard index of `least` or more."""
-    out = np.zeros(len(a), bool)
-    for lo, hi in _chunks([x if len(x) > len(y) else y for x, y in zip(a, b, strict=True)]):
-        n = hi - lo
-        owner, h = shingle_sets([x.lower() for x in a[lo:hi]] + [x.lower() for x in b[lo:hi]])
-        size = np.bincount(owner, minlength=2 * n)
-        pair = owner % n
-        order = np.lexsort((h, pair))
-        pair, h = pair[order], h[order]
-        both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=n)
-        out[lo:hi] = both >= (size[:n] + size[n:]) * (least / (1 + least)) - 1e-9  # both / (sum - both) >= least
-    return out
+def likely(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Whether signatures agree in half as many places as two sets with a Jaccard index of `least` do on average. Of such sets fewer than one in 10^6 does not."""
+    return (a == b).sum(axis=1) >= least / 2 * a.shape[1]
 
 
-def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many shingles each set of `left` has in common with each of `right`, as a matrix, by a product of incidence matrices."""
-    both = np.intersect1d(np.concatenate([sets[i] for i in left]), np.concatenate([sets[j] for j in right]))
-    m, wide = np.zeros((len(left), len(right)), np.float32), max(64, (1 << 20) // max(len(left), len(right)))
-    for k in range(0, len(both), wide):
-        some = both[k : k + wide]
-        cells = [np.stack([np.isin(some, sets[i], assume_unique=True) for i in side]).astype(np.float32) for side in (left, right)]
-        m += cells[0] @ cells[1].T
-    return m
+def alike(a: list[str], b: list[str], least: float = LEAST) -> np.ndarray:
+    """For each pair of lines whether their sets have a Jaccard index of `least` or more: exactly, for those that their signatures do not exclude."""
+    a, b = [x.lower() for x in a], [x.lower() for x in b]
+    names: dict[str, int] = {}
+    ia, ib = (np.array([names.setdefault(x, len(names)) for x in side], np.int64) for side in (a, b))
+    signed = signatures(list(names)) if names else np.zeros((0, BANDS * ROWS), np.uint32)
+    out = likely(signed[ia], signed[ib], least)
+    open_ = np.flatnonzero(out)
+    for lo, hi in _chunks([a[k] + b[k] for k in open_]):
+        now = open_[lo:hi]
+        n = len(now)
+        sides = [shingle_sets([side[k] for k in now]) for side in (a, b)]
+        size = sum(np.bincount(owner, minlength=n) for owner, _ in sides)
+        keys = np.concatenate([(owner.astype(np.uint64) << np.uint64(48)) | h for owner, h in sides])
+        keys.sort()
+        both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(48)).astype(np.int64), minlength=n)
+        out[now] = both >= size * (least / (1 + least)) - 1e-9  # both / (size - both) >= least
+    return out
 
 
 class Comparer:
     """Compares the lines of buckets that are in different components, each two of them once as far as it remembers."""
 
     def __init__(self, least: float = LEAST, most: int = SEEN) -> None:
-        self.least, self.most, self.done, self.linked = least, most, set(), set()
+        self.least, self.most, self.done = least, most, set()
 
     def links(self, key: np.ndarray, side: np.ndarray, ids: np.ndarray, roots: np.ndarray, lines: list[str], same: np.ndarray) -> list[tuple[int, int]]:
         """Links between roots. Rows are sorted by key, the number of a bucket's pair of blocks; same: whether both are one block."""
         names, first, at = np.unique(ids, return_index=True, return_inverse=True)
-        owner, h = shingle_sets([lines[k].lower() for k in first])
-        sets = np.split(h, np.searchsorted(owner, np.arange(1, len(names))))
-        size, out = np.array([len(x) for x in sets]), []
+        low = [lines[k].lower() for k in first]
+        signed, found = signatures(low), []
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for a, b in zip(edges, np.append(edges[1:], len(key)), strict=True):
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
             left = np.arange(a, b) if same[a] else a + np.flatnonzero(side[a:b] == 0)
             right = left if same[a] else a + np.flatnonzero(side[a:b] == 1)
-            if not len(left) or not len(right):
-                continue
-            x, y = size[at[left]][:, None], size[at[right]][None, :]
-            open_ = (roots[left][:, None] != roots[right][None, :]) & (np.minimum(x, y) >= self.least * np.maximum(x, y))
-            i, j = np.nonzero(np.triu(open_) if same[a] else open_)
-            if len(i) > 64:
-                m = _common(sets, at[left], at[right])[i, j]
-            else:
-                m = np.array([-1 if (min(p, q), max(p, q)) in self.done else len(np.intersect1d(sets[s], sets[t], assume_unique=True)) for p, q, s, t in zip(ids[left[i]].tolist(), ids[right[j]].tolist(), at[left[i]], at[right[j]], strict=True)])
-                if len(self.done) > self.most:
-                    self.done.clear()
-                self.done.update((min(p, q), max(p, q)) for p, q in zip(ids[left[i]].tolist(), ids[right[j]].tolist(), strict=True))
-            good = m >= (size[at[left[i]]] + size[at[right[j]]]) * (self.least / (1 + self.least)) - 1e-9 if len(i) else np.zeros(0, bool)
-            out += zip(roots[left[i[good]]].tolist(), roots[right[j[good]]].tolist(), strict=True)
-        return list(set(out))
+            i, j = np.nonzero(roots[left][:, None] != roots[right][None, :])
+            i, j = left[i], right[j]
+            if same[a]:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                hit = np.flatnonzero(likely(signed[at[i]], signed[at[j]], self.least))
+                found += zip(at[i[hit]].tolist(), at[j[hit]].tolist(), roots[i[hit]].tolist(), roots[j[hit]].tolist(), strict=True)
+        pairs = {(min(p, q), max(p, q)): (r, t) for p, q, r, t in found}
+        fresh = {p: r for p, r in pairs.items() if (names[p[0]], names[p[1]]) not in self.done}
+        if len(self.done) > self.most:
+            self.done.clear()
+        self.done.update((names[p], names[q]) for p, q in fresh)
+        good = alike([low[p] for p, _ in fresh], [low[q] for _, q in fresh], self.least)
+        return list({r for r, g in zip(fresh.values(), good, strict=True) if g})
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -249,14 +257,41 @@ def _apart(open_: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     return bounded(x.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")).mapInPandas(run, "a long, b long")
 
 
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, low, id): the different lines of each key that has several, and the smallest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[np.ndarray]) -> pa.RecordBatch:
+            key, name = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            other = new | np.append(True, name[1:] != name[:-1])[: len(key)]
+            key, name, new = key[other], name[other], new[other]  # in order of key and id, so low comes first
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(key)))
+            some = np.repeat(size > 1, size)
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, np.repeat(name[start], size), name)], names=["key", "low", "id"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:  # sorted: all but the last key of a batch are whole
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+            cut = int(np.searchsorted(x[0], x[0, -1], "left"))
+            if not cut and held and held[0][0, -1] == x[0, 0]:
+                held.append(np.stack([x[0][:1].repeat(len(u := np.unique(x[1]))), u]))  # one key over several batches
+                continue
+            yield found([*held, x[:, :cut]])
+            held = [x[:, cut:]]
+        yield found(held)
+
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, low long, id long")
+
+
 def line_links(docs: DataFrame, scratch: Scratch, bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> DataFrame:
     """(node, root): components of different lines that are alike, by the ids of lines."""
-    keys = line_keys(docs, bands, rows).repartition("key")
-    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    # the condition on high holds always; with it both sides read the same columns, so their exchange is made once
-    members = scratch.keep(keys.join(ends.hint("shuffle_hash"), "key").where("id <= high").select("key", "low", "id").distinct())
+    members = scratch.keep(buckets(line_keys(docs, bands, rows)))
     stars = scratch.keep(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = members.select("id").distinct()
+    wanted = scratch.keep(members.select("id").distinct())
     some = sifted(lines(docs).select("id", "line"), "id", wanted).where("maybe").groupBy("id").agg(F.first("line").alias("line"))
     texts = scratch.keep(some.join(wanted, "id", "left_semi"))
     links = scratch.keep(_verified(stars, texts, least))
@@ -268,7 +303,7 @@ def line_links(docs: DataFrame, scratch: Scratch, bands: int = BANDS, rows: int
     merged = scratch.keep(components(more, scratch=scratch))  # of components, so a small graph
     known = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     out = scratch.keep(known.union(merged.join(roots, "node", "left_anti").select("node", "root")))
-    scratch.drop(members, stars, texts, links, roots, open_, more, merged)
+    scratch.drop(members, stars, wanted, texts, links, roots, open_, more, merged)
     return out
 
 
@@ -277,12 +312,13 @@ def dropped(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFram
     roots = line_links(docs, scratch, least=least)
     known = scratch.keep(lines(docs).select("doc", "pos", "id"))
     again = known.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
-    some = sifted(known, "id", again.union(roots.select("node"))).where("maybe").drop("maybe")  # other lines stand once and are like no other
+    shared = scratch.keep(again.union(roots.select("node")))
+    some = sifted(known, "id", shared).where("maybe").drop("maybe")  # other lines stand once and are like no other
     classed = scratch.keep(salted_join(some, roots.withColumnRenamed("node", "id"), "id", counted(some, "id"), how="left").select("doc", "pos", "id", F.coalesce("root", "id").alias("root")))
     keep = classed.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("keep"), F.max(F.struct("doc", "pos")).alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
     gone = salted_join(classed, scratch.keep(keep.select("root", "keep")), "root", counted(classed, "root")).where(~F.struct("doc", "pos").eqNullSafe(F.col("keep")))
     out = scratch.keep(gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone")))
-    scratch.drop(roots, known, classed)
+    scratch.drop(roots, known, shared, classed)
     return out
 
 
