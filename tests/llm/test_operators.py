@@ -140,6 +140,21 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.learn(odd, labels.where("false")) is None
     assert quality.learn(none, labels) is None
     assert {r["score"] for r in quality.scored(odd, None).collect()} == {0.5}
+    assert quality.scored(none, model).count() == 0
+    repeated = spark.createDataFrame([(k % 4, f"text {k} " * 5) for k in range(40)], "doc_id long, text string")
+    assert quality.learn(repeated, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")) is not None
+
+
+def test_quality_reads_words_and_letters(spark):
+    """Texts that differ in nothing but the order of their letters or the choice of their words are told apart by what was learned."""
+    rng = random.Random(9)
+    known = "river mountain letter window garden bread summer teacher station winter market bridge music paper stone".split()
+    junk = ["".join(rng.sample(w, len(w))) for w in known]
+    rows = [(k, " ".join(rng.choices(known if k % 2 else junk, k=60))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int"))
+    s = quality.judge(model, [t for _, t in rows[300:]])
+    assert ((s >= 0.5) == [k % 2 == 1 for k, _ in rows[300:]]).mean() > 0.95
 
 
 def test_pairwise_fit():

@@ -19,7 +19,7 @@ def test_run_is_the_plain_pipeline(spark):
 
     model = quality.learn(docs, labels)
     rows = docs.toPandas().set_index("doc_id")
-    good = quality.score(model, np.array([quality.features(t) for t in rows["text"]])) >= 0.5
+    good = quality.judge(model, rows["text"]) >= 0.5
     rows = rows[good]
     lines = brute.line_dedup(list(rows["text"].items()))
     rows = rows.loc[[i for i in rows.index if not lines[i][1] or lines[i][0].strip()]].copy()
