@@ -111,3 +111,35 @@ def leaks(rows, items):
                     out.add((i, item_id))
                     break
     return out
+
+
+def rake(names, tokens, targets, budget, rounds=3000, alpha=0.5):
+    """({cell: factor}, {cell: probability}) of cells by plain raking; targets: for each dimension shares by level, or None for tempered ones."""
+    total = sum(tokens)
+    weight = dict(zip(names, (t / total for t in tokens), strict=True))
+    own = dict(weight)
+    goals = []
+    for d, wanted in enumerate(targets):
+        now = Counter()
+        for c, w in own.items():
+            now[c[d]] += w
+        if wanted:
+            known = {k: wanted[k] for k in now if k in wanted}
+            rest = {k: v for k, v in now.items() if k not in wanted}
+            left = max(0.0, 1 - sum(known.values())) if rest else 0.0
+            goal = known | {k: left * v / sum(rest.values()) for k, v in rest.items()}
+        else:
+            goal = {k: v**alpha for k, v in now.items()}
+        goals.append({k: v / sum(goal.values()) for k, v in goal.items()})
+    for _ in range(rounds):
+        for d, goal in enumerate(goals):
+            now = Counter()
+            for c, w in weight.items():
+                now[c[d]] += w
+            weight = {c: w * goal[c[d]] / now[c[d]] if now[c[d]] else 0.0 for c, w in weight.items()}
+    factor = {c: weight[c] / own[c] for c in weight}
+    low, high = 0.0, 1 / min(f for f in factor.values() if f > 0)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(own[c] * min(1, mid * f) for c, f in factor.items()) < budget else (low, mid)
+    return factor, {c: min(1, high * f) for c, f in factor.items()}

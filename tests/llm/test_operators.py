@@ -172,33 +172,56 @@ def test_pairwise_fit():
 
 def test_mixture_meets_its_targets(documents):
     targets = {"lang": {"en": 0.4, "de": 0.3, "xx": 0.1}}
-    x = mixing.mixed(documents, targets, budget=0.3).drop("row").toPandas()
+    x = mixing.mixed(documents, targets, budget=0.3).toPandas()
     w = x["tokens"] * x["factor"]
     lang = w.groupby(x["lang"]).sum() / w.sum()
     total = 0.4 + 0.3 + 0.3  # en, de, and what is left for the others
     assert lang["en"] == pytest.approx(0.4 / total, abs=1e-6)
     assert lang["de"] == pytest.approx(0.3 / total, abs=1e-6)
-    now = x.groupby("source")["tokens"].sum()
-    wanted = (now / now.sum()) ** 0.5
-    assert np.allclose(w.groupby(x["source"]).sum() / w.sum(), wanted / wanted.sum(), atol=1e-6)
+    for d in ("source", "topic"):
+        now = x.groupby(d)["tokens"].sum()
+        now = now[now > 0]
+        wanted = (now / now.sum()) ** 0.5
+        assert np.allclose((w.groupby(x[d]).sum() / w.sum())[now.index], wanted / wanted.sum(), atol=1e-6)
     assert (x["tokens"] * x["probability"]).sum() == pytest.approx(0.3 * x["tokens"].sum(), rel=1e-6)
     assert (x["kept"] == (x["u"] < x["probability"])).all()
 
 
-def test_mixture_in_tables_is_the_same(documents):
-    key = ["doc_id", "factor", "probability"]
-    here = mixing.mixed(documents, {"lang": {"en": 0.4}}, rounds=2).select(*key).toPandas().sort_values("doc_id")
-    apart = mixing.mixed(documents, {"lang": {"en": 0.4}}, most=1, rounds=2).select(*key).toPandas().sort_values("doc_id")
-    assert np.allclose(here[key], apart[key], rtol=1e-3, atol=1e-4)
+def test_raking_is_the_plain_one(spark):
+    rng = np.random.default_rng(4)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 1000))) for i in range(30) for j in range(4) for k in range(3) if rng.random() < 0.8]
+    targets = {"lang": {"l0": 0.5, "l1": 0.2}, "source": {"s3": 0.3, "s9": 0.1, "none": 0.2}}
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    got = mixing.calibrate(df, targets, 0.6, Scratch(spark)).applied(df).collect()
+    factor, p = brute.rake([c[:3] for c in cells], [c[3] for c in cells], [targets.get(d) for d in mixing.DIMENSIONS], 0.6)
+    for r in got:
+        cell = (r["source"], r["lang"], r["topic"])
+        assert r["factor"] == pytest.approx(factor[cell], rel=1e-5)
+        assert r["probability"] == pytest.approx(p[cell], rel=1e-5)
+
+
+def test_topics_part_vocabularies(spark):
+    rng = random.Random(3)
+    kinds = [[f"{a}word{k}" for k in range(40)] for a in ("sea", "law", "tree", "star")]
+    rows = [(k, " ".join(rng.choices(kinds[k % 4], k=80))) for k in range(200)]
+    texts = mixing.vectorized(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("en")})).persist()
+    centres = mixing.learn_topics(texts, 4)
+    at = {r["doc_id"]: int(mixing.nearest(np.array([r["vector"]]), centres)[0]) for r in texts.collect()}
+    assert [len({at[k] for k in range(200) if k % 4 == m}) for m in range(4)] == [1] * 4
+    assert len(set(at.values())) == 4
 
 
-def test_mixture_odd_rows(odd, none):
+def test_mixture_odd_rows(spark, odd, none):
     got = mixing.mixed(odd).select("doc_id", "tokens", "probability", "kept").collect()
     assert len(got) == len(ROWS)
     assert all(r["probability"] == 0 and not r["kept"] for r in got if not r["tokens"])
     assert len({str(r) for r in got if r["doc_id"] == 1}) == 1
     assert mixing.mixed(none).count() == 0
-    assert mixing.scale_for(np.array([1.0, 3.0]), np.array([10, 10]), 1.0) == 1.0
+    clash = odd.withColumn("mix", F.lit("mine"))
+    out = mixing.sampled(clash, budget=1.0)
+    assert out.columns == [*clash.columns, "mix_"]
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["1", "1", "None", "4", "5"])
+    assert {r["mix"] for r in out.collect()} == {"mine"}
 
 
 # 4: extraction
