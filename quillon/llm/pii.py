@@ -1,31 +1,33 @@
 """Personal data (operator 5): base patterns and bootstrapped contextual extraction.
 
-The spans of the base patterns are the seed entities. Their contexts (the word before and the word after) are lexical
-patterns, whatever the shape of the entity, so a context learnt from seeds finds values of other shapes. Spark scores the graph of patterns and instances in rounds: an instance is as
-sure as the surest of its patterns, a pattern as sure as the share of sure instances among all that it matches, with
+The spans of the base patterns are the seed entities. Their contexts (the word before, the two words before, the word after, and the words on both sides) are lexical
+patterns, whatever the shape of the entity, so a context learnt from seeds finds values of other shapes. Spark scores the graph of patterns and instances in rounds, for each kind of
+entity apart: an instance is as sure to be of a kind as the surest of its patterns, a pattern as sure as the share of instances that are, among all that it matches, with
 smoothing; seeds count as sure, and a pattern needs support from different seeds. Patterns that end up above the threshold
-extract identifiers that no base pattern knows, and those that stand in sure contexts anywhere carry their confidence to
-further patterns in the next round.
+extract identifiers that no base pattern knows, with the kind that their seeds have, and those that stand in sure contexts anywhere carry their confidence to
+further patterns in the next round. So a word that stands before all kinds of things, like an article, is trusted for none.
 
 An instance is any run of non-space characters with a digit or an @ in it, a row of numbers with a space between them
-(030 1234567) or an address spelt with (at), stripped of punctuation at its ends, of five characters or more, that no base
-span overlaps. Only such tokens and the spans leave the scan; texts are not shuffled.
+(030 1234567) or an address spelt with (at), stripped of punctuation at its ends, that no base
+span overlaps. Only such places with their contexts leave the scan, values as 64-bit hashes; texts are not shuffled. Joins are salted where a pattern or a value is in many rows.
 
 Defined results: a null or empty text has no span; repeated rows come back as often as they occur; an empty table gives an
-empty result; only doc_id and text are read.
+empty result; only doc_id and text are read. A place that several kinds claim has the kind of the greatest confidence, of equal ones the first in KINDS.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, cut, table, with_types
+from quillon.llm.common import Scratch, bounded, counted, salted_join, table, with_types
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -41,7 +43,7 @@ DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 NUMBER = re.compile(r"[0-9().+/-]+")
 AT, ADDRESS = re.compile(r"[\[({]at[\])}]", re.I), re.compile(r"(?<!\S)\S+? ?[\[({]at[\])}] ?\S+(?: ?[\[({]dot[\])}] ?\S+)*", re.I)
-WORD_BEFORE, WORD_AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*(\S+)")
+WORD, LETTER = re.compile(r"\S+"), re.compile(r"\w")
 EDGE = "\"'`()[]{}<>.,;:!?#$%&*|=~^/\\"
 
 
@@ -78,9 +80,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    left, right = WORD_BEFORE.search(text[max(0, a - 60) : a]), WORD_AFTER.match(text[b : b + 60])
-    return (left[1].lower().strip(EDGE) or left[1] if left else "^"), (right[1].lower().strip(EDGE) or right[1] if right else "$")
+class Contexts:
+    """Words around places of a text."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, [m.span() for m in WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+
+    def _word(self, a: int, b: int) -> str:
+        return self.text[a:b].lower().strip(EDGE) or self.text[a:b]
+
+    def _before(self, a: int) -> tuple[str, int]:
+        """The last word that ends before a place, with where it begins; marks without a letter or digit are passed over, three at most."""
+        k = bisect_right(self.starts, a - 1) - 1
+        for k in range(k, max(-1, k - 4), -1):
+            lo, hi = self.words[k][0], min(a, self.words[k][1])
+            if LETTER.search(self.text, lo, hi):
+                return self._word(lo, hi), lo
+        return "^", 0
+
+    def of(self, a: int, b: int) -> list[str]:
+        left, at = self._before(a)
+        second = self._before(at)[0] if at else "^"
+        k = bisect_right(self.starts, b) - 1
+        right = self._word(b, self.words[k][1]) if k >= 0 and b < self.words[k][1] else "$"
+        if (right == "$" or not LETTER.search(right)) and k + 1 < len(self.words):
+            right = self._word(*self.words[k + 1])
+        return [f"L:{left}", f"R:{right}", f"LL:{second} {left}", f"LR:{left} {right}"]
 
 
 def _disjoint(spans: list) -> list[list[int]]:
@@ -106,7 +132,7 @@ def _free(found: list[tuple[int, int]], taken: list[list[int]]) -> list[tuple[in
 
 def _stripped(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     values = [(a, text[a:b], text[a:b].strip(EDGE)) for a, b in spans]
-    return [(a + whole.index(v), a + whole.index(v) + len(v)) for a, whole, v in values if len(v) >= 5]
+    return [(a + whole.index(v), a + whole.index(v) + len(v)) for a, whole, v in values if v]
 
 
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -126,65 +152,78 @@ def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def mentions(text: str) -> tuple[list[tuple[int, int, str]], list[dict]]:
-    """The base spans, and all mentions with their contexts: seeds and candidates."""
+    """The base spans, and all mentions with their contexts: seeds, which have a kind, and candidates."""
     spans = base_spans(text)
-    found = [(a, b, True) for a, b, _ in spans]
+    found: list[tuple[int, int, str | None]] = list(spans)
     if "@" in text or DIGIT.search(text) or AT.search(text):
-        found += [(a, b, False) for a, b in candidates(text, spans)]
-    return spans, [{"start": a, "end": b, "value": text[a:b][:200], "seed": seed, **dict(zip(("left", "right"), _context(text, a, b), strict=True))} for a, b, seed in found]
+        found += [(a, b, None) for a, b in candidates(text, spans)]
+    around = Contexts(text) if found else None
+    name = lambda v: xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return spans, [{"start": a, "end": b, "value": name(text[a:b]), "kind": kind, "contexts": around.of(a, b)} for a, b, kind in found]
 
 
-MENTION = "struct<start: long, end: long, value: string, seed: boolean, left: string, right: string>"
+MENTION = "struct<start: long, end: long, value: long, kind: string, contexts: array<string>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, base array<struct<start, end, kind>>, found array of mentions) for each row."""
+    """(row, doc_id, base array<struct<start, end, kind>>, found array of mentions) for each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [mentions(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "base": [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s, _ in rows], "found": [m for _, m in rows]})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "base": [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s, _ in rows], "found": [m for _, m in rows]})
 
-    return bounded(with_types(docs, doc_id="long", text="string")).mapInPandas(run, f"doc_id long, base array<struct<start: long, end: long, kind: string>>, found array<{MENTION}>")
+    x = with_types(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    return bounded(x).mapInPandas(run, f"row long, doc_id long, base array<struct<start: long, end: long, kind: string>>, found array<{MENTION}>")
 
 
-def patterns(seen: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
-    """(pattern, confidence) above the threshold, by rounds over the graph of patterns and instances.
+def patterns(seen: DataFrame, scratch: Scratch, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
+    """(pattern, kind, confidence) above the threshold, by rounds over the graph of patterns and instances.
 
-    seen: value, seed, left, right. A pattern is the word before or after an instance, with the side. confidence = sum of its instances' scores / (their number + 1), over different instances; patterns
+    seen: value, kind (of seeds), pattern. For a kind, confidence = sum of its instances' scores / (number of the pattern's instances + 1), over different instances; patterns
     with fewer than `support` sure instances are not trusted. Every round is an aggregate by instance and one by pattern.
     """
-    sides = F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right")))
-    graph = cut(seen.select("value", "seed", sides.alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    graph = scratch.keep(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
+    sizes = scratch.keep(counted(graph, "pattern"))
+    degrees = scratch.keep(counted(graph, "value"))
+    seeds = scratch.keep(graph.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score")))
+
+    def trusted(scores: DataFrame) -> DataFrame:
+        by = salted_join(graph.select("pattern", "value"), scores, "value", degrees).groupBy("pattern", "kind").agg(F.sum("score").alias("all"), F.sum((F.col("score") >= least).cast("long")).alias("sure"))
+        by = by.join(sizes, "pattern").withColumn("confidence", F.col("all") / (F.col("n") + 1))
+        return by.where((F.col("confidence") >= least) & (F.col("sure") >= support)).select("pattern", "kind", "confidence")
+
+    scores = seeds
     for _ in range(rounds):
-        by = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") >= least).cast("long")).alias("sure"))
-        by = by.where((F.col("confidence") >= least) & (F.col("sure") >= support))
-        best = graph.join(by, "pattern", "left").groupBy("value").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"), F.max("seed").alias("seed"))
-        scores = cut(best.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score")))
-    by = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") >= least).cast("long")).alias("sure"))
-    return by.where((F.col("confidence") >= least) & (F.col("sure") >= support)).select("pattern", "confidence")
+        by = scratch.keep(trusted(scores))
+        reached = salted_join(graph.where("kind is null").select("pattern", "value"), by, "pattern", sizes).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+        scores = scratch.keep(seeds.unionByName(reached))
+    return scratch.keep(trusted(scores))
 
 
 def found_spans(docs: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
-    """(doc_id, base, more): for each row the base spans and those that trusted patterns add, kind "context"."""
-    rows = cut(scanned(docs)).withColumn("row", F.monotonically_increasing_id())  # of checkpointed rows, which stay in place
-    each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
-    trusted = patterns(each, rounds, least, support)
-    open_ = each.where("not seed")
-    left = open_.withColumn("pattern", F.concat(F.lit("L:"), "left"))
-    right = open_.withColumn("pattern", F.concat(F.lit("R:"), "right"))
-    more = left.union(right).join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max("confidence").alias("confidence"))
-    more = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "confidence"))).alias("more"))
+    """(doc_id, base, more): for each row the base spans and those that trusted patterns add (start, end, confidence, kind)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(scanned(docs))
+    each = scratch.keep(rows.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.start", "m.end", "m.value", "m.kind", F.explode("m.contexts").alias("pattern")))
+    trusted = patterns(each.select("value", "kind", "pattern"), scratch, rounds, least, support)
+    open_ = each.where("kind is null").select("row", "start", "end", "pattern")
+    order = F.struct(F.col("confidence"), *[(F.col("kind") == k).alias(k) for k in KINDS], "kind")
+    more = salted_join(open_, trusted, "pattern", counted(open_, "pattern")).groupBy("row", "start", "end").agg(F.max(order).alias("m"))
+    more = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "m.confidence", "m.kind"))).alias("more"))
     return rows.select("row", "doc_id", "base").join(more, "row", "left").drop("row")
 
 
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that the method adds have the kind context_email, context_ip, context_card or context_phone."""
     x = found_spans(table(spark, sf_dir, "documents"))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    kind = F.create_map(*[y for k, v in enumerate((*KINDS, "context")) for y in (F.lit(v), F.lit(k))])
-    full = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), kind[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))), F.transform(F.coalesce("more", F.expr("cast(array() as array<struct<start: long, end: long, confidence: double>>)")), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("k"), s["end"].alias("end"), F.lit("context").alias("kind"))))
+    kinds = (*KINDS, *[f"context_{k}" for k in KINDS])
+    place = F.create_map(*[y for k, v in enumerate(kinds) for y in (F.lit(v), F.lit(k))])
+    span = lambda s, kind: F.struct(s["start"].alias("start"), place[kind].alias("k"), s["end"].alias("end"), kind.alias("kind"))
+    added = F.transform("more", lambda s: span(s, F.concat(F.lit("context_"), s["kind"])))
+    full = F.concat(F.transform("base", lambda s: span(s, s["kind"])), F.coalesce(added, F.expr("cast(array() as array<struct<start: long, k: int, end: long, kind: string>>)")))
     return x.select(
         "doc_id",
         *[number(k) for k in KINDS],
