@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators.boolean import boolean_search
 from quillon.operators.index import Index, build_index
-from quillon.operators.ranking import bm25_search, tfidf_search
+from quillon.operators.ranking import bm25_scores, bm25_search, ranked, tfidf_scores, tfidf_search
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Engine:
 
     @cached_property
     def norms(self) -> DataFrame:
-        return self.index.doc_norms().persist()
+        return self.index.stored_norms().persist()
 
     @property
     def models(self) -> dict[str, Callable[[str, int], DataFrame]]:
@@ -47,6 +47,14 @@ class Engine:
         """rank, doc_ord, score, total and the record's columns, in the order of ranks."""
         return self.models[model](query, k).join(self.corpus, "doc_ord").orderBy("rank")
 
+    def rankings(self, model: str, queries: dict[int, str], k: int) -> DataFrame:
+        """(qid, rank, doc_ord) of the best k of each query. A ranked model answers all queries by one plan."""
+        if model != "boolean":
+            scores = bm25_scores(self.index, queries) if model == "bm25" else tfidf_scores(self.index, queries, self.norms)
+            return ranked(scores, k).select("qid", "rank", "doc_ord")
+        parts = [boolean_search(self.index, q, k).select(F.lit(qid).cast("long").alias("qid"), "rank", "doc_ord") for qid, q in queries.items()]
+        return reduce(DataFrame.union, parts)
+
     def statistics(self) -> dict[str, float]:
         row = self.index.corpus_stats.crossJoin(self.index.vocabulary_size()).first()
         return {"documents": row["n"], "terms": row["terms"], "mean_length": row["avgdl"]}
@@ -58,7 +66,7 @@ def card(query: str) -> list[Column]:
     return [
         F.col("rank"),
         tx.highlight(_escaped("title"), query).alias("title"),
-        F.coalesce("url", F.lit("")).alias("url"),
+        F.when(F.col("url").rlike("(?i)^(https?://|[^:/?#]*$)"), F.col("url")).otherwise("").alias("url"),  # no other scheme becomes a link
         tx.author_line("authors").alias("authors"),
         tx.highlight(_escaped(tx.truncate("abstract", 230)), query).alias("snippet"),
         F.when(F.coalesce("year", F.lit(0)) != 0, F.col("year").cast("string")).otherwise("n.d.").alias("year"),

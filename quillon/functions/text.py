@@ -102,7 +102,7 @@ def truncate(text: Column | str, most: int, leeway: int = 5) -> Column:
     return F.when(F.length(c) <= most + leeway, c).otherwise(F.concat(F.left(c, F.lit(most - 3)), F.lit("...")))
 
 
-#: Words that are not marked in a hit.
+# Words that are not marked in a hit.
 _UNMARKED = ("and", "or", "not", "the", "of", "for", "with", "in", "on", "to", "a")
 
 

@@ -1,9 +1,10 @@
 """The inverted index as tables.
 
 documents: doc_ord (the place of a document, a long), title, abstract. From it: postings(term, doc_ord, tf, dl), doc_stats
-(doc_ord, dl), term_stats(term, df), corpus_stats(n, avgdl) and doc_norms(doc_ord, norm). Postings carry the document's
-length, so ranked queries need no join with doc_stats; written out, they are range-partitioned and sorted by term, so that
-a query's terms prune row groups.
+(doc_ord, dl), term_stats(term, df), corpus_stats(n, avgdl) and doc_norms(doc_ord, norm). A document's length is the size of its
+array of words, so it needs no aggregate: it goes along with the words through the one that counts them. Postings carry it,
+so ranked queries need no join with doc_stats; written out, they are range-partitioned and sorted by term and document, so that
+a query's terms prune files and row groups and a frequent term is split.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from quillon.functions.analyzer import with_stems
 from quillon.functions.text import document_text, tokenize, without_stopwords
 
 
+def _words(docs: DataFrame, text: Column | None, remove_stopwords: bool) -> DataFrame:
+    """(doc_ord, words)."""
+    words = tokenize(document_text("title", "abstract") if text is None else text)
+    return docs.select("doc_ord", (without_stopwords(words) if remove_stopwords else words).alias("words"))
+
+
 def term_counts(docs: DataFrame, text: Column | None = None, remove_stopwords: bool = True, stem: bool = True) -> DataFrame:
-    """(doc_ord, term, tf): how often each document has each term."""
-    text = document_text("title", "abstract") if text is None else text
-    words = tokenize(text)
-    words = without_stopwords(words) if remove_stopwords else words
-    counts = docs.select("doc_ord", F.explode(words).alias("term")).groupBy("doc_ord", "term").agg(F.count("*").alias("tf"))
+    """(doc_ord, term, tf, dl): how often each document has each term, and how many terms it has."""
+    each = _words(docs, text, remove_stopwords).select("doc_ord", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    counts = each.groupBy("doc_ord", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     if stem:  # several words of a document may have one stem
-        counts = with_stems(counts).groupBy("doc_ord", "term").agg(F.sum("tf").alias("tf"))
+        counts = with_stems(counts).groupBy("doc_ord", "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
     return counts
 
 
@@ -38,6 +43,7 @@ class Index:
     corpus_stats: DataFrame
     remove_stopwords: bool = True
     stem: bool = True
+    folder: str | None = None
 
     TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
@@ -51,6 +57,10 @@ class Index:
         w = (1 + F.log10("tf")) * F.log10(F.col("n") / F.col("df"))
         return weights.groupBy("doc_ord").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
+    def stored_norms(self) -> DataFrame:
+        """The norms that write() stored, of an index that was read from a folder; else computed."""
+        return self.spark.read.parquet(f"{self.folder}/doc_norms") if self.folder else self.doc_norms()
+
     def vocabulary_size(self) -> DataFrame:
         return self.term_stats.agg(F.count("*").alias("terms"))
 
@@ -60,23 +70,33 @@ class Index:
     def persist(self) -> Index:
         return Index(*[getattr(self, t).persist() for t in self.TABLES], self.remove_stopwords, self.stem)
 
-    def write(self, folder: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_ord").write.mode("overwrite").parquet(f"{folder}/postings")
-        for t in self.TABLES[1:]:
-            getattr(self, t).write.mode("overwrite").parquet(f"{folder}/{t}")
-        self.doc_norms().write.mode("overwrite").parquet(f"{folder}/doc_norms")
+    def write(self, folder: str) -> Index:
+        """Writes the tables and reads them; what is counted from postings is counted from the written ones."""
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        put(self.postings.repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "doc_ord"), "postings")
+        put(self.doc_stats, "doc_stats")
+        read = self.spark.read.parquet
+        put(_term_stats(read(f"{folder}/postings")), "term_stats")
+        put(_corpus_stats(read(f"{folder}/doc_stats")), "corpus_stats")
+        out = Index.read(self.spark, folder, self.remove_stopwords, self.stem)
+        put(out.doc_norms(), "doc_norms")
+        return out
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, remove_stopwords: bool = True, stem: bool = True) -> Index:
-        return cls(*[spark.read.parquet(f"{folder}/{t}") for t in cls.TABLES], remove_stopwords, stem)
+        return cls(*[spark.read.parquet(f"{folder}/{t}") for t in cls.TABLES], remove_stopwords, stem, folder)
+
+
+def _term_stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _corpus_stats(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def build_index(docs: DataFrame, remove_stopwords: bool = True, stem: bool = True, text: Column | None = None) -> Index:
     """The index of documents with doc_ord, title and abstract. Documents without a term count in n and avgdl."""
-    counts = term_counts(docs, text, remove_stopwords, stem)
-    lengths = counts.groupBy("doc_ord").agg(F.sum("tf").alias("dl"))
-    doc_stats = docs.select("doc_ord").join(lengths, "doc_ord", "left").select("doc_ord", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
-    postings = counts.join(lengths, "doc_ord").select("term", "doc_ord", "tf", "dl")
-    term_stats = counts.groupBy("term").agg(F.count("*").alias("df"))
-    corpus_stats = doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, doc_stats, term_stats, corpus_stats, remove_stopwords, stem)
+    postings = term_counts(docs, text, remove_stopwords, stem).select("term", "doc_ord", "tf", "dl")
+    doc_stats = _words(docs, text, remove_stopwords).select("doc_ord", F.size("words").cast("long").alias("dl"))
+    return Index(postings, doc_stats, _term_stats(postings), _corpus_stats(doc_stats), remove_stopwords, stem)

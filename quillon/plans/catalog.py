@@ -1,7 +1,10 @@
 """All queries of the search engine, and the SQL each is held against.
 
 The table documents plays the corpus: doc_id is the place of a document, text its abstract. Queries that SQL can express run
-without stemming, which SQL lacks; those with stems, folds and models have no SQL and are held by tests.
+without stemming, which SQL lacks; those with stems and models have no SQL and are held by tests.
+
+The queries of the index itself (postings, term_stats, doc_stats, corpus_stats) build it; those that search read a stored index, which the
+first of them in a session writes to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,10 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.engine import Engine, card
 from quillon.functions import text as tx
 from quillon.functions.analyzer import stemmed, terms
 from quillon.operators import boolean, cluster, corpus, merge, metrics, ranking
+from quillon.operators.graph import Scratch
 from quillon.operators.index import Index, build_index
+from quillon.sources import records
 
 QUERIES = {1: "license public general", 2: "token tion er", 3: "ou sh ha ti ti", 4: "the reanti thonon ouen", 5: "de la que con", 6: "mit license apache"}
 BOOLEAN = {
@@ -38,6 +44,17 @@ def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
     return build_index(papers(spark, sf_dir), stem=stem, text=F.col("abstract"))
 
 
+_STORED: dict[tuple[str, str, bool], Index] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
+    """The index of a folder's documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, stem)
+    if key not in _STORED:
+        _STORED[key] = index(spark, sf_dir, stem).write(Scratch(spark).folder)
+    return _STORED[key]
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
@@ -53,7 +70,7 @@ def _no_stop(spark, d):
 
 
 def _boolean(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: boolean.boolean_matches(index(spark, d), query)
+    return lambda spark, d: boolean.boolean_matches(stored(spark, d), query)
 
 
 def _judgments(spark, d):
@@ -62,7 +79,7 @@ def _judgments(spark, d):
 
 
 def _rankings(spark, d):
-    found = ranking.ranked(ranking.bm25_scores(index(spark, d), QUERIES), metrics.DEPTH)
+    found = ranking.ranked(ranking.bm25_scores(stored(spark, d), QUERIES), metrics.DEPTH)
     return found.select("qid", "rank", F.col("doc_ord").alias("doc"))
 
 
@@ -73,12 +90,12 @@ def _corpus(spark, d):
 def _records(spark, d, part: int):
     """Documents as the records of one of two sources: titles are first lines, so copies meet."""
     x = documents(spark, d).where(F.col("doc_id") % 2 == part)
-    return x.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string"))).alias("arxiv_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.array("lang").alias("categories"), F.col("n_chars").alias("citation_count"), F.lit("arxiv" if part else "semantic_scholar").alias("source"))
+    return x.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string"))).alias("arxiv_id"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("d"), (F.col("doc_id") % 80).cast("string"))).alias("doi"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("v"), F.col("doc_id").cast("string"))).alias("venue"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.array("lang").alias("categories"), F.col("n_chars").alias("citation_count"), F.lit("arxiv" if part else "semantic_scholar").alias("source"))
 
 
 def _merged(spark, d):
     x = merge.merge_records(merge.in_order(_records(spark, d, 1), _records(spark, d, 0)))
-    return x.select("doc_ord", "doc_id", "title", F.length("abstract").alias("n_chars"), "citation_count", F.array_join("sources", "+").alias("sources"), F.array_join("categories", "+").alias("categories"))
+    return x.select("doc_ord", "doc_id", "title", F.length("abstract").alias("n_chars"), "citation_count", "arxiv_id", "doi", "venue", F.array_join("sources", "+").alias("sources"), F.array_join("categories", "+").alias("categories"))
 
 
 def _functions(spark, d):
@@ -101,7 +118,7 @@ def _first(spark, d):
 
 def _topics(spark, d):
     vectors = cluster.vectorize(papers(spark, d), text=F.col("abstract"))
-    model = cluster.fit_topics(vectors.vectors, 8, starts=3)
+    model = cluster.fit_topics(vectors.vectors, 8)
     return vectors, model, cluster.assignments(model, vectors.vectors)
 
 
@@ -120,7 +137,7 @@ def _representatives(spark, d):
 
 def _silhouette(spark, d):
     vectors = cluster.vectorize(papers(spark, d), text=F.col("abstract"))
-    return spark.createDataFrame(cluster.silhouette_scan(vectors.vectors, 4, 5, starts=1))
+    return spark.createDataFrame(cluster.silhouette_scan(vectors.vectors, 4, 12))
 
 
 def _stems(spark, d):
@@ -129,14 +146,90 @@ def _stems(spark, d):
 
 
 def _hits(spark, d):
-    found = ranking.bm25_search(index(spark, d), QUERIES[1], 20)
+    found = ranking.bm25_search(stored(spark, d), QUERIES[1], 20)
     docs = documents(spark, d).select(F.col("doc_id").alias("doc_ord"), tx.normalize_title(F.substring_index("text", "\n", 1)).alias("title"), F.array("source").alias("sources"))
     return found.join(docs, "doc_ord").select("rank", tx.hit_line("rank", "title", F.lit(None).cast("int"), "sources", "score").alias("line"))
 
 
+_PLAIN = "[^A-Za-z0-9 ]+"
+CARD_QUERY = "license public general"
+MALFORMED = ("", "AND", "license OR", "(license", "license )", "NOT", "()", "license AND public", "the", "NOT the OR license")
+
+
+def _plain(c):
+    """Letters, digits and spaces of the first line of a text."""
+    return F.regexp_replace(F.substring_index(c, "\n", 1), _PLAIN, " ")
+
+
+def _json_lines(spark, d):
+    folder = f"{Scratch(spark).folder}/lines"
+    records.write_jsonl(documents(spark, d).select("doc_id", "text", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source")), folder)
+    return merge.in_file_order(records.read_jsonl(spark, folder, "doc_id long, text string, lang string, source string")).drop("ord")
+
+
+def _judgment_file(spark, d):
+    folder = f"{Scratch(spark).folder}/judgments"
+    each = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").groupBy((F.col("doc_id") % 6).alias("q")).agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
+    whole = each.agg(F.sort_array(F.collect_list(F.struct("q", "relevant"))).alias("all"))  # six queries
+    whole.select(F.to_json(F.transform("all", lambda x: F.struct(F.concat(F.lit("query "), x["q"].cast("string")).alias("query"), x["relevant"].alias("relevant")))).alias("value")).coalesce(1).write.text(folder)
+    return records.read_judgments(spark, folder).select("qid", "query", F.size("relevant").alias("n"), F.array_join("relevant", ",").alias("relevant"))
+
+
+def _atom(spark, d):
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    i = F.col("doc_id").cast("string")
+    kind = F.when(F.col("doc_id") % 7 == 0, F.lit("http://arxiv.org/api/e")).otherwise(F.lit("http://arxiv.org/abs/cs/"))
+    entry = F.concat(F.lit("<feed><entry>"), tag("id", F.concat(kind, i, F.lit("v2"))), tag("title", F.concat(F.lit(" "), _plain("text"), F.lit("\n title"))), tag("summary", F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(_plain("text"))), tag("published", F.lit("2021-02-03")), F.lit("<author><name>"), F.col("source"), F.lit("</name></author><author><name>x</name></author><category term=\""), F.col("lang"), F.lit("\"/></entry></feed>"))
+    x = records.atom_records(records.atom_entries(documents(spark, d).select(F.col("doc_id").alias("ord"), entry.alias("page"))))
+    return x.select("ord", "arxiv_id", "title", "abstract", F.array_join("authors", ";").alias("authors"), "year", F.array_join("categories", ";").alias("categories"), "url", "source")
+
+
+def _scholar(spark, d):
+    i = F.col("doc_id").cast("string")
+    raw = F.to_json(F.struct(i.alias("paperId"), _plain("text").alias("title"), F.col("text").alias("abstract"), F.lit(2020).alias("year"), F.array(F.struct(F.lit("1").alias("authorId"), F.col("source").alias("name")), F.struct(F.lit("2").alias("authorId"), F.lit(None).cast("string").alias("name"))).alias("authors"), F.struct(F.when(F.col("doc_id") % 2 == 0, i).alias("ArXiv"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/AB"), i)).otherwise("").alias("DOI")).alias("externalIds"), F.when(F.col("doc_id") % 2 == 1, F.col("lang")).otherwise("").alias("venue"), F.col("n_chars").alias("citationCount"), F.array("lang").alias("fieldsOfStudy"), F.lit("u").alias("url")))
+    x = documents(spark, d).select(F.col("doc_id").alias("ord"), F.from_json(raw, records.SCHOLAR_RECORD).alias("r")).select("ord", "r.*")
+    return records.scholar_records(x).select("ord", "s2_id", "arxiv_id", "doi", "title", F.length("abstract").alias("n_chars"), F.array_join("authors", ";").alias("authors"), "year", "venue", "citation_count", F.array_join("fields_of_study", ";").alias("fields"), "source")
+
+
+def _engine(spark, d) -> Engine:
+    x = documents(spark, d)
+    return Engine(x.select(F.col("doc_id").alias("doc_ord"), _plain("text").alias("title"), _plain("text").alias("abstract"), F.lit("u").alias("url"), F.array("source", "lang").alias("authors"), F.when(F.col("doc_id") % 3 > 0, F.lit(2020)).alias("year"), F.col("lang").alias("venue"), F.array("source").alias("sources"), (F.col("doc_id") % 3000).alias("citation_count")), stored(spark, d))
+
+
+def _cards(spark, d):
+    x = _engine(spark, d).search(CARD_QUERY, "bm25", 20).select(*card(CARD_QUERY))
+    return rounded(x.select("rank", "title", "url", "authors", "snippet", "year", "venue", F.array_join("sources", "+").alias("sources"), "cited", "score", "bar", "total"), "score", "bar")
+
+
+def _models(spark, d):
+    engine, out = _engine(spark, d), None
+    for name in ("bm25", "boolean", "tfidf"):
+        x = engine.search(QUERIES[1], name, 5).select(F.lit(name).alias("model"), "rank", "doc_ord", F.coalesce("score", F.lit(-1.0)).alias("score"), "total")
+        out = x if out is None else out.unionByName(x)
+    return rounded(out, "score")
+
+
+def _syntax(spark, d):
+    """What becomes of queries: an error, nothing, or a tree with so many terms."""
+
+    def told(query: str) -> str:
+        try:
+            node = boolean.parse(query)
+        except boolean.QuerySyntaxError:
+            return "error"
+        return "nothing" if node is None else f"{len(boolean.terms_of(node))} terms"
+
+    return spark.createDataFrame([(k, q, told(q)) for k, q in enumerate(MALFORMED)], "k int, query string, outcome string")
+
+
+def _assigned(spark, d):
+    """Documents in clusters by rule, with distances, as a model would give them."""
+    return documents(spark, d).select(F.col("doc_id").alias("doc_ord"), (F.col("doc_id") * F.col("doc_id") % 7).cast("int").alias("cluster"), (F.col("n_chars") / 7.0).alias("distance"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    best = lambda f, k=10: lambda s, d: rounded(ranking.ranked(f(index(s, d)), k), "score")
-    one = lambda f: lambda s, d: rounded(f(index(s, d)), "score")
+    best = lambda f, k=10: lambda s, d: rounded(ranking.ranked(f(stored(s, d)), k), "score")
+    one = lambda f: lambda s, d: rounded(f(stored(s, d)), "score")
     return {
         "tokenize_docs": _tokenize,
         "tokens_no_stop": _no_stop,
@@ -149,16 +242,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_stats": lambda s, d: index(s, d).term_stats,
         "doc_stats": lambda s, d: index(s, d).doc_stats,
         "corpus_stats": lambda s, d: rounded(index(s, d).corpus_stats, "avgdl"),
-        "vocabulary_size": lambda s, d: index(s, d).vocabulary_size(),
-        "top_df_terms": lambda s, d: index(s, d).top_terms(10),
-        "doc_norms": lambda s, d: rounded(index(s, d).doc_norms(), "norm"),
+        "vocabulary_size": lambda s, d: stored(s, d).vocabulary_size(),
+        "top_df_terms": lambda s, d: stored(s, d).top_terms(10),
+        "doc_norms": lambda s, d: rounded(stored(s, d).doc_norms(), "norm"),
         "bm25_topk": one(lambda i: ranking.bm25_search(i, QUERIES[2], 10)),
         "bm25_b0": one(lambda i: ranking.bm25_search(i, QUERIES[2], 10, b=0.0)),
         "bm25_batch": best(lambda i: ranking.bm25_scores(i, QUERIES), 50),
-        "tfidf_topk": one(lambda i: ranking.tfidf_search(i, QUERIES[2], 10)),
-        "tfidf_batch": best(lambda i: ranking.tfidf_scores(i, QUERIES), 50),
+        "tfidf_topk": one(lambda i: ranking.tfidf_search(i, QUERIES[2], 10, i.stored_norms())),
+        "tfidf_batch": best(lambda i: ranking.tfidf_scores(i, QUERIES, i.stored_norms()), 50),
         **{f"boolean_{name}": _boolean(q) for name, q in BOOLEAN.items()},
-        "boolean_topk": lambda s, d: boolean.boolean_search(index(s, d), BOOLEAN["or"], 20),
+        "boolean_topk": lambda s, d: boolean.boolean_search(stored(s, d), BOOLEAN["or"], 20),
         "eval_metrics": lambda s, d: rounded(metrics.query_metrics(_rankings(s, d), _judgments(s, d)), "p5", "p10", "r10", "ap"),
         "eval_model": lambda s, d: rounded(metrics.model_metrics({"bm25": _rankings(s, d)}, _judgments(s, d)), "p5", "p10", "r10", "map"),
         "corpus_summary": lambda s, d: rounded(corpus.corpus_summary(_corpus(s, d)), "mean_abstract"),
@@ -167,9 +260,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hit_lines": _hits,
         "tfidf_weights": lambda s, d: rounded(cluster.tfidf_weights(papers(s, d), text=F.col("abstract"), stem=False), "weight"),
         "merge_sources": _merged,
+        "doc_text": lambda s, d: documents(s, d).select("doc_id", tx.document_text(_plain("text"), F.when(F.col("doc_id") % 4 > 0, F.col("text"))).alias("whole")),
+        "json_lines": _json_lines,
+        "judgment_file": _judgment_file,
+        "atom_records": _atom,
+        "scholar_records": _scholar,
+        "highlight": lambda s, d: documents(s, d).select("doc_id", tx.highlight(_plain("text"), CARD_QUERY).alias("marked"), F.left(_plain("text"), F.lit(88)).alias("head"), tx.truncate(_plain("text"), 48).alias("cut")),
+        "hit_cards": _cards,
+        "model_search": _models,
+        "boolean_syntax": _syntax,
+        "boolean_empty": lambda s, d: boolean.boolean_matches(stored(s, d), "the"),
+        "bm25_none": lambda s, d: ranking.bm25_search(stored(s, d), QUERIES[2], 0),
+        "cluster_sizes": lambda s, d: cluster.cluster_sizes(_assigned(s, d)),
+        "nearest_members": lambda s, d: rounded(cluster.representatives(_assigned(s, d)), "distance"),
+        "mean_terms": lambda s, d: rounded(cluster.mean_terms(cluster.tfidf_weights(papers(s, d), text=F.col("abstract"), stem=False), _assigned(s, d)), "weight"),
         "stem_terms": _stems,
         "stem_postings": lambda s, d: index(s, d, True).postings,
-        "stem_bm25_batch": lambda s, d: rounded(ranking.ranked(ranking.bm25_scores(index(s, d, True), QUERIES), 50), "score"),
+        "stem_bm25_batch": lambda s, d: rounded(ranking.ranked(ranking.bm25_scores(stored(s, d, True), QUERIES), 50), "score"),
         "kmeans_topics": _kmeans,
         "top_terms": _top_terms,
         "representatives": _representatives,
@@ -181,20 +288,20 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _SPACES = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _INDEX = f"""WITH tok AS (SELECT doc_id AS doc_ord, unnest({_TOKENS}) AS term FROM documents),
-counts AS (SELECT doc_ord, term, count(*)::BIGINT AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY ALL),
-lengths AS (SELECT d.doc_id AS doc_ord, coalesce(sum(c.tf), 0)::BIGINT AS dl FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_ord GROUP BY 1),
-terms AS (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY 1),
+counts AS MATERIALIZED (SELECT doc_ord, term, count(*)::BIGINT AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+lengths AS MATERIALIZED (SELECT d.doc_id AS doc_ord, coalesce(sum(c.tf), 0)::BIGINT AS dl FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_ord GROUP BY 1),
+terms AS MATERIALIZED (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY 1),
 corpus AS (SELECT count(*)::BIGINT AS n, coalesce(avg(dl), 0.0)::DOUBLE AS avgdl FROM lengths),
 norms AS (SELECT doc_ord, sqrt(sum(power((1 + log10(tf)) * log10(n / df), 2))) AS norm FROM counts JOIN terms USING (term), corpus GROUP BY 1)"""
 
 
-def _asked(only: int | None = None) -> str:
-    """The queries as (qid, term, qtf)."""
+def _asked(only: int | None = None, text: str | None = None) -> str:
+    """The queries as (qid, term, qtf); of one of them, or of another text in its place."""
     from collections import Counter
 
     from quillon.functions.analyzer import analyze
 
-    rows = [f"({q}, '{t}', {n})" for q, text in QUERIES.items() if only in (None, q) for t, n in Counter(analyze(text, stem=False)).items()]
+    rows = [f"({q}, '{t}', {n})" for q, own in QUERIES.items() if only in (None, q) for t, n in Counter(analyze(text or own, stem=False)).items()]
     return f", q(qid, term, qtf) AS (VALUES {', '.join(rows)})"
 
 
@@ -214,7 +321,11 @@ SELECT {"qid, " if qid else ""}rank::BIGINT AS rank, doc_ord, round(score, 6) AS
 
 
 def _has(term: str) -> str:
-    return f"doc_ord IN (SELECT doc_ord FROM counts WHERE term = '{term}')"
+    return f"coalesce(list_contains(have, '{term}'), false)"
+
+
+#: Each document with those of its terms that some Boolean query names.
+_FLAGS = ", flags AS (SELECT d.doc_id AS doc_ord, have FROM documents d LEFT JOIN (SELECT doc_ord, list(term) AS have FROM counts WHERE term IN ('license', 'public', 'token', 'er', 'nd', 'tion', 'cc', 'nc') GROUP BY 1) h ON d.doc_id = h.doc_ord)"
 
 
 _EVAL = f"""{_bm25()}, ranks AS (SELECT qid, doc_ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_ord) AS rank FROM scores),
@@ -228,7 +339,31 @@ sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END)::DOUBLE / max(n_rel) AS r10, coale
 _CORPUS = "WITH c AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN [source, 'extra'] ELSE [source] END AS sources, (doc_id % 20)::INT AS year FROM documents)"
 
 
+#: Records in order with their keys, the walk through them, and the heads. own: key to document; ids: documents that have an id of a kind.
+_MERGED = r"""WITH RECURSIVE rec AS MATERIALIZED (SELECT row_number() OVER (ORDER BY 1 - doc_id % 2, doc_id) AS n, doc_id, text, lang, source, n_chars,
+CASE WHEN doc_id % 7 = 0 THEN 'p' || (doc_id % 50) END AS a, CASE WHEN doc_id % 5 = 0 THEN 'd' || (doc_id % 80) END AS d, CASE WHEN doc_id % 3 = 0 THEN 'v' || doc_id END AS venue,
+nullif(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g'), '') AS t, CASE WHEN doc_id % 2 = 1 THEN 'arxiv' ELSE 'semantic_scholar' END AS src FROM documents),
+walk AS (SELECT 0::BIGINT AS n, 0::BIGINT AS head, MAP([''], [0::BIGINT]) AS own, ['']::VARCHAR[] AS ids
+UNION ALL SELECT x.n, x.head,
+map_concat(x.own, map_from_entries(list_filter([
+  {'k': CASE WHEN a IS NOT NULL AND NOT list_contains(x.ids, 'a' || x.head) AND x.own['a:' || a] IS NULL THEN 'a:' || a END, 'v': x.head},
+  {'k': CASE WHEN d IS NOT NULL AND NOT list_contains(x.ids, 'd' || x.head) AND x.own['d:' || d] IS NULL THEN 'd:' || d END, 'v': x.head},
+  {'k': CASE WHEN t IS NOT NULL AND x.head = x.n THEN 't:' || t END, 'v': x.head}], lambda e: e.k IS NOT NULL))),
+list_concat(x.ids, list_filter([CASE WHEN a IS NOT NULL AND NOT list_contains(x.ids, 'a' || x.head) THEN 'a' || x.head END, CASE WHEN d IS NOT NULL AND NOT list_contains(x.ids, 'd' || x.head) THEN 'd' || x.head END], lambda e: e IS NOT NULL))
+FROM (SELECT r.n, r.a, r.d, r.t, w.own, w.ids, coalesce(w.own['a:' || r.a], w.own['d:' || r.d], w.own['t:' || r.t], r.n) AS head FROM walk w JOIN rec r ON r.n = w.n + 1) x),
+member AS (SELECT rec.*, walk.head FROM rec JOIN walk USING (n)),
+doc AS (SELECT head, min_by(split_part(text, chr(10), 1), n) AS title, max(length(text)) AS n_chars, max(n_chars) AS citation_count, min_by(a, n) AS arxiv_id, min_by(d, n) AS doi, min_by(venue, n) AS venue,
+string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM member GROUP BY 1),
+cats AS (SELECT head, string_agg(lang, '+' ORDER BY n) AS categories FROM (SELECT head, lang, min(n) AS n FROM member GROUP BY 1, 2) GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY head) - 1)::BIGINT AS doc_ord, CASE WHEN arxiv_id IS NOT NULL THEN 'arxiv:' || arxiv_id ELSE 'title:' || left(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), 40) END AS doc_id,
+title, n_chars::INT AS n_chars, citation_count::BIGINT AS citation_count, arxiv_id, doi, venue, sources, categories FROM doc JOIN cats USING (head) WHERE n_chars >= 100"""
+
+
 def oracle_sql() -> dict[str, str]:
+    plain = f"regexp_replace(split_part(text, chr(10), 1), '{_PLAIN}', ' ', 'g')"
+    cleaned = lambda x: f"trim(regexp_replace({x}, '{_SPACES}', ' ', 'g'))"
+    marked = lambda x: f"regexp_replace({x}, '(?i)\\b((?:gener|lice|licen|publ)\\w*)', '<mark>\\1</mark>', 'g')"
+    short = lambda x, n: f"CASE WHEN length({x}) <= {n + 5} THEN {x} ELSE left({x}, {n - 3}) || '...' END"
     title = "regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g')"
     name = "('cs/' || doc_id || 'v' || (doc_id % 4))"
     clean = f"trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))"
@@ -262,8 +397,8 @@ CASE WHEN length(text) > 90 THEN left(text, 87) || '...' ELSE text END AS clippe
         "bm25_batch": _INDEX + _asked() + _bm25() + _top(50),
         "tfidf_topk": _INDEX + _asked(2) + _TFIDF + _top(10, False),
         "tfidf_batch": _INDEX + _asked() + _TFIDF + _top(50),
-        **{f"boolean_{k}": f"{_INDEX} SELECT doc_ord FROM lengths WHERE {v}" for k, v in found.items()},
-        "boolean_topk": f"{_INDEX}, m AS (SELECT doc_ord FROM lengths WHERE {found['or']}) SELECT row_number() OVER (ORDER BY doc_ord)::BIGINT AS rank, doc_ord, NULL::DOUBLE AS score, (SELECT count(*) FROM m)::BIGINT AS total FROM m ORDER BY doc_ord LIMIT 20",
+        **{f"boolean_{k}": f"{_INDEX}{_FLAGS} SELECT doc_ord FROM flags WHERE {v}" for k, v in found.items()},
+        "boolean_topk": f"{_INDEX}{_FLAGS}, m AS (SELECT doc_ord FROM flags WHERE {found['or']}) SELECT row_number() OVER (ORDER BY doc_ord)::BIGINT AS rank, doc_ord, NULL::DOUBLE AS score, (SELECT count(*) FROM m)::BIGINT AS total FROM m ORDER BY doc_ord LIMIT 20",
         "eval_metrics": _INDEX + _asked() + _EVAL + " SELECT qid, round(p5, 6) AS p5, round(p10, 6) AS p10, round(r10, 6) AS r10, round(ap, 6) AS ap FROM each",
         "eval_model": _INDEX + _asked() + _EVAL + " SELECT 'bm25' AS model, round(avg(p5), 6) AS p5, round(avg(p10), 6) AS p10, round(avg(r10), 6) AS r10, round(avg(ap), 6) AS map FROM each",
         "corpus_summary": f"{_CORPUS} SELECT count(*)::BIGINT AS documents, sum((len(sources) > 1)::INT)::BIGINT AS in_several_sources, min(CASE WHEN year <> 0 THEN year END) AS first_year, max(CASE WHEN year <> 0 THEN year END) AS last_year, round(avg(length(text)), 6) AS mean_abstract FROM c",
@@ -271,6 +406,30 @@ CASE WHEN length(text) > 90 THEN left(text, 87) || '...' ELSE text END AS clippe
         "top_categories": f"{_CORPUS} SELECT lang AS category, count(*)::BIGINT AS documents FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
         "hit_lines": _INDEX + _asked(1) + _bm25() + f""" SELECT rank, printf('%3d. [----] %s  (%s)  score=%.4f', rank, CASE WHEN t = '' THEN '(untitled)' WHEN length(t) > 90 THEN left(t, 87) || '...' ELSE t END, source, score) AS line
 FROM (SELECT s.*, {title} AS t, source, row_number() OVER (ORDER BY score DESC, doc_ord)::BIGINT AS rank FROM scores s JOIN documents ON doc_id = doc_ord) WHERE rank <= 20""",
+        "merge_sources": _MERGED,
+        "doc_text": f"SELECT doc_id, {cleaned(f"concat_ws(' ', {plain}, CASE WHEN doc_id % 4 > 0 THEN text END)")} AS whole FROM documents",
+        "json_lines": "SELECT doc_id, text, lang, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents",
+        "judgment_file": "SELECT (row_number() OVER (ORDER BY q) - 1)::BIGINT AS qid, 'query ' || q AS query, len(relevant)::INT AS n, array_to_string(relevant, ',') AS relevant FROM (SELECT doc_id % 6 AS q, list(doc_id::VARCHAR ORDER BY doc_id::VARCHAR) AS relevant FROM labels WHERE quality = 1 GROUP BY 1)",
+        "atom_records": f"""SELECT doc_id AS ord, 'cs/' || doc_id AS arxiv_id, {cleaned(f"{plain} || ' title'")} AS title, {cleaned(plain)} AS abstract, source || ';x' AS authors, 2021 AS year, lang AS categories,
+'https://arxiv.org/abs/cs/' || doc_id AS url, 'arxiv' AS source FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND {cleaned(plain)} <> ''""",
+        "scholar_records": f"""SELECT doc_id AS ord, doc_id::VARCHAR AS s2_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS arxiv_id, CASE WHEN doc_id % 3 = 0 THEN '10.1/ab' || doc_id END AS doi, {cleaned(plain)} AS title,
+length({clean})::INT AS n_chars, source || ';' AS authors, 2020 AS year, CASE WHEN doc_id % 2 = 1 THEN lang END AS venue, n_chars AS citation_count, lang AS fields, 'semantic_scholar' AS source FROM documents WHERE {cleaned(plain)} <> '' AND length({clean}) >= 100""",
+        "highlight": f"SELECT doc_id, {marked(plain)} AS marked, left({plain}, 88) AS head, {short(plain, 48)} AS cut FROM documents",
+        "hit_cards": _INDEX + _asked(1, CARD_QUERY) + _bm25() + f""", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_ord) AS rank, count(*) OVER () AS total FROM scores)
+SELECT rank::BIGINT AS rank, {marked(plain)} AS title, 'u' AS url, source || ', ' || lang AS authors, {marked(short(plain, 230))} AS snippet, CASE WHEN doc_id % 3 > 0 THEN '2020' ELSE 'n.d.' END AS year, lang AS venue, source AS sources,
+CASE WHEN doc_id % 3000 > 0 THEN 'cited ' || format('{{:,}}', doc_id % 3000) ELSE '' END AS cited, round(score, 6) AS score, round(100 * score / max(score) OVER (), 6) AS bar, total::BIGINT AS total FROM best JOIN documents ON doc_id = doc_ord WHERE rank <= 20""",
+        "model_search": _INDEX + _FLAGS + _asked(1) + _bm25() + ", b AS (SELECT * FROM scores)" + _TFIDF.replace("scores AS", "v AS") + f""", m AS (SELECT doc_ord FROM flags WHERE {_has('license')} AND {_has('public')} AND doc_ord IN (SELECT doc_ord FROM counts WHERE term = 'general')),
+every AS (SELECT 'bm25' AS model, doc_ord, score FROM b UNION ALL SELECT 'tfidf', doc_ord, score FROM v UNION ALL SELECT 'boolean', doc_ord, -1.0 FROM m)
+SELECT model, rank::BIGINT AS rank, doc_ord, round(score, 6) AS score, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, doc_ord) AS rank, count(*) OVER (PARTITION BY model) AS total FROM every) WHERE rank <= 5""",
+        "boolean_syntax": "SELECT * FROM (VALUES (0, '', 'nothing'), (1, 'AND', 'error'), (2, 'license OR', 'error'), (3, '(license', 'error'), (4, 'license )', 'error'), (5, 'NOT', 'error'), (6, '()', 'error'), (7, 'license AND public', '2 terms'), (8, 'the', 'nothing'), (9, 'NOT the OR license', '1 terms')) t(k, query, outcome)",
+        "boolean_empty": "SELECT doc_id AS doc_ord FROM documents WHERE false",
+        "bm25_none": "SELECT doc_id AS rank, doc_id AS doc_ord, 0.0::DOUBLE AS score, doc_id AS total FROM documents WHERE false",
+        "cluster_sizes": "SELECT (doc_id * doc_id % 7)::INT AS cluster, count(*)::BIGINT AS documents FROM documents GROUP BY 1",
+        "nearest_members": "SELECT cluster, rank::INT AS rank, doc_id AS doc_ord, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, doc_id) AS rank FROM (SELECT doc_id, (doc_id * doc_id % 7)::INT AS cluster, n_chars / 7.0::DOUBLE AS distance FROM documents)) WHERE rank <= 3",
+        "mean_terms": f"""{_INDEX}, raw AS (SELECT doc_ord, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM counts JOIN terms USING (term), corpus WHERE df >= 2),
+unit AS (SELECT doc_ord, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_ord)) AS w FROM raw), sizes AS (SELECT doc_id * doc_id % 7 AS cluster, count(*) AS size FROM documents GROUP BY 1),
+means AS (SELECT cluster, term, round(sum(w) / any_value(size), 10) AS weight FROM unit JOIN sizes ON cluster = doc_ord * doc_ord % 7 WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1, 2)
+SELECT cluster::INT AS cluster, rank::INT AS rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM means) WHERE rank <= 10""",
         "tfidf_weights": f"""{_INDEX}, raw AS (SELECT doc_ord, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM counts JOIN terms USING (term), corpus WHERE df >= 2)
 SELECT doc_ord, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_ord)), 6) AS weight FROM raw""",
     }

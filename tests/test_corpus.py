@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from quillon.operators.cluster import assignments, cluster_sizes, fit_topics, representatives, silhouette_scan, top_terms, vectorize
 from quillon.operators.corpus import corpus_summary, source_counts, top_categories
-from quillon.operators.merge import RECORD, fold, in_order, merge_records
+from quillon.operators.merge import RECORD, in_file_order, in_order, merge_records
 from quillon.sources import collectors
 from quillon.sources.records import SCHOLAR_RECORD, atom_entries, atom_records, read_atom, read_judgments, read_jsonl, scholar_records, write_jsonl
 from quillon.streaming.refresh import latest, refresh_corpus
 
-FEED = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>x</title>
-<entry><id>http://arxiv.org/abs/2401.00001v2</id><title>Sparse   retrieval
- at scale</title><summary> An abstract of some words. </summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author><author><name>C D</name></author><category term="cs.IR"/></entry>
-<entry><id>http://arxiv.org/abs/cs/0112017v1</id><title>Old paper</title><summary>Another abstract.</summary><published>2001-12-01T00:00:00Z</published><author><name>E</name></author><category term="cs.DL"/><category term="cs.CL"/></entry>
-<entry><id>http://arxiv.org/api/errors</id><title>Error</title><summary>no</summary></entry></feed>"""
+FEED = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><updated>2020-05-06</updated>
+<entry><published>2019-11-30T10:00:00Z</published><category term="stat.ME"/><author><name>Ada Quint</name></author><author><name>Bo Rask</name></author>
+<title>Counting  tides
+ by night</title><id>http://arxiv.org/abs/1911.07777v3</id><summary> Water that comes and goes. </summary></entry>
+<entry><id>http://arxiv.org/abs/hep-th/9905111v1</id><title>On strings of beads</title><summary>Beads on a wire.</summary><published>1999-05-14T00:00:00Z</published><category term="hep-th"/><category term="math.CO"/><author><name>Cy Tan</name></author></entry>
+<entry><title>Too many requests</title><id>http://arxiv.org/api/wait</id><summary>later</summary></entry></feed>"""
 
-SCHOLAR = {"paperId": "s1", "title": "Sparse retrieval at scale", "abstract": "word " * 40, "year": 2023, "authors": [{"authorId": "1", "name": "A B"}], "externalIds": {"ArXiv": "2401.00001", "DOI": "10.1234/Example"}, "url": "u", "citationCount": 42, "fieldsOfStudy": ["CS"], "venue": "SIGIR"}
+SCHOLAR = {"paperId": "s1", "title": "Counting tides by night", "abstract": "word " * 40, "year": 2023, "authors": [{"authorId": "1", "name": "Ada Quint"}], "externalIds": {"ArXiv": "1911.07777", "DOI": "10.5555/Tide.9"}, "url": "u", "citationCount": 42, "fieldsOfStudy": ["CS"], "venue": "Shorelines"}
 
 
 def scholar(spark, *raw):
@@ -29,26 +30,26 @@ def test_atom(spark, tmp_path):
     pages = spark.createDataFrame([(FEED,)], "page string")
     for entries in (read_atom(spark, str(tmp_path / "a.xml")), atom_entries(pages)):
         got = {r["arxiv_id"]: r for r in atom_records(entries).collect()}
-        assert set(got) == {"2401.00001", "cs/0112017"}
-        assert got["2401.00001"]["title"] == "Sparse retrieval at scale"
-        assert got["2401.00001"]["authors"] == ["A B", "C D"]
-        assert got["cs/0112017"]["categories"] == ["cs.DL", "cs.CL"]
-        assert got["cs/0112017"]["year"] == 2001
-        assert got["2401.00001"]["url"] == "https://arxiv.org/abs/2401.00001"
+        assert set(got) == {"1911.07777", "hep-th/9905111"}
+        assert got["1911.07777"]["title"] == "Counting tides by night"
+        assert got["1911.07777"]["authors"] == ["Ada Quint", "Bo Rask"]
+        assert got["hep-th/9905111"]["categories"] == ["hep-th", "math.CO"]
+        assert got["hep-th/9905111"]["year"] == 1999
+        assert got["1911.07777"]["url"] == "https://arxiv.org/abs/1911.07777"
 
 
 def test_scholar(spark):
     got = scholar_records(scholar(spark, SCHOLAR, SCHOLAR | {"paperId": "s2", "abstract": "too short"}, SCHOLAR | {"paperId": "s3", "title": None})).collect()
     assert [r["s2_id"] for r in got] == ["s1"]
-    assert got[0]["doi"] == "10.1234/example"
+    assert got[0]["doi"] == "10.5555/tide.9"
 
 
 def test_merge_sources(spark):
-    feed = atom_records(atom_entries(spark.createDataFrame([(FEED,)], "page string")))
-    got = {r["doc_id"]: r for r in merge_records(in_order(feed, scholar_records(scholar(spark, SCHOLAR))), 10).collect()}
-    assert set(got) == {"arxiv:2401.00001", "arxiv:cs/0112017"}
-    both = got["arxiv:2401.00001"]
-    assert (both["citation_count"], both["venue"], both["sources"], both["categories"], both["s2_id"]) == (42, "SIGIR", ["arxiv", "semantic_scholar"], ["cs.IR"], "s1")
+    feed = atom_records(atom_entries(spark.createDataFrame([(FEED,)], "page string")).withColumn("ord", F.col("n")))
+    got = {r["doc_id"]: r for r in merge_records(in_order(feed, scholar_records(scholar(spark, SCHOLAR).withColumn("ord", F.lit(0)))), 10).collect()}
+    assert set(got) == {"arxiv:1911.07777", "arxiv:hep-th/9905111"}
+    both = got["arxiv:1911.07777"]
+    assert (both["citation_count"], both["venue"], both["sources"], both["categories"], both["s2_id"]) == (42, "Shorelines", ["arxiv", "semantic_scholar"], ["stat.ME"], "s1")
     assert sorted(r["doc_ord"] for r in got.values()) == [0, 1]
 
 
@@ -58,20 +59,52 @@ def test_merge_by_title_rescues_a_short_abstract(spark):
     assert [(r["title"], len(r["abstract"])) for r in got] == [("Sparse Retrieval: A Survey!", 80), (None, 90), (None, 90)]
 
 
-def test_merge_is_the_ordered_fold(spark):
-    rng = random.Random(11)
+def plain_documents(rows):
+    """Documents as lists of places of records, one record after the other."""
+    homes, docs = [], []  # (key, number of document); {places, keys by kind}
+    for place, r in enumerate(rows):
+        own = {"a": r["arxiv_id"], "d": r["doi"], "t": "".join(c for c in (r["title"] or "").lower() if c.isascii() and c.isalnum())}
+        own = {kind: v for kind, v in own.items() if v}
+        meets = [n for key in own.items() for k, n in homes if k == key]
+        if meets:
+            doc = docs[meets[0]]
+            doc["keys"] = {k: v for k, v in own.items() if k != "t"} | doc["keys"]
+        else:
+            docs.append(doc := {"places": [], "keys": own, "n": len(docs)})
+        doc["places"].append(place)
+        homes += [(key, doc["n"]) for key in doc["keys"].items() if key not in [k for k, _ in homes]]
+    return [d["places"] for d in docs]
+
+
+@pytest.mark.parametrize("keys", [60, 12])
+def test_merge_is_the_plain_one(spark, keys):
+    rng = random.Random(keys)
     names = [f.name for f in RECORD.fields]
     rows = []
     for k in range(300):
         r = dict.fromkeys(names)
-        r |= {"arxiv_id": rng.choice([None, "", f"a{rng.randrange(60)}"]), "doi": rng.choice([None, f"d{rng.randrange(60)}"]), "title": rng.choice([None, f"T {rng.randrange(80)}", f"t{rng.randrange(80)}!"]), "abstract": "x" * rng.randrange(5), "year": rng.choice([None, 0, 2000 + k % 9]), "authors": rng.choices("pqr", k=3), "citation_count": rng.choice([None, k]), "sources": [rng.choice("uv")]}
+        r |= {"arxiv_id": rng.choice([None, "", f"a{rng.randrange(keys)}"]), "doi": rng.choice([None, f"d{rng.randrange(keys)}"]), "title": rng.choice([None, f"T {rng.randrange(keys)}", f"t{rng.randrange(keys)}!"]), "abstract": "x" * rng.randrange(5) + str(k), "year": rng.choice([None, 0, 2000 + k % 9]), "authors": rng.choices("pqr", k=3), "citation_count": rng.choice([None, k]), "sources": [rng.choice("uv")]}
         rows.append(r)
     df = spark.createDataFrame([(k, *r.values()) for k, r in enumerate(rows)], "ord long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD.fields))
-    keyed = [r | {"ord": k, "title_key": "".join(c for c in (r["title"] or "").lower() if c.isascii() and c.isalnum())} for k, r in enumerate(rows)]
-    expected = [d for d in fold(iter(keyed)) if len(d["abstract"]) >= 2]
-    got = merge_records(df, 2).orderBy("doc_ord").collect()
-    compare = ("arxiv_id", "doi", "title", "abstract", "year", "authors", "citation_count", "sources")
-    assert [tuple(r[c] for c in compare) for r in got] == [tuple(d[c] for c in compare) for d in expected]
+    expected = []
+    for places in plain_documents(rows):
+        mine = [rows[p] for p in places]
+        first = lambda c: next((r[c] for r in mine if r[c]), mine[0][c])  # noqa: E731, B023
+        authors = list(mine[0]["authors"])
+        for a in (a for r in mine[1:] for a in r["authors"]):
+            authors += [a] if a not in authors else []
+        longest = max(mine, key=lambda r: len(r["abstract"]))["abstract"]
+        expected.append((first("arxiv_id"), first("doi"), mine[0]["title"], longest, first("year"), authors, max((r["citation_count"] for r in mine if r["citation_count"] is not None), default=None), sorted({s for r in mine for s in r["sources"]})))
+    expected = [e for e in expected if len(e[3]) >= 3]
+    got = merge_records(df, 3).orderBy("doc_ord").collect()
+    assert [tuple(r[c] for c in ("arxiv_id", "doi", "title", "abstract", "year", "authors", "citation_count", "sources")) for r in got] == expected
+
+
+def test_rows_keep_the_order_of_their_files(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"x": f"{name}{k}"}) + "\n" for k in (3, 1, 2)))
+    got = in_file_order(read_jsonl(spark, str(tmp_path))).orderBy("ord").collect()
+    assert [r["x"] for r in got] == [f"{n}{k}" for n in "abc" for k in (3, 1, 2)]
 
 
 def test_stats(spark):
@@ -132,7 +165,7 @@ def test_collectors_over_http(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/"
     feed = collectors.collect_feed(spark, ["cs.IR", "cs.DL"], 200, url=url, delay=0)
-    assert sorted(r["arxiv_id"] for r in feed.collect()) == ["2401.00001", "cs/0112017"]
+    assert sorted(r["arxiv_id"] for r in feed.collect()) == ["1911.07777", "hep-th/9905111"]
     bulk = collectors.collect_bulk(spark, ["q"], 5, url=url, delay=0)
     assert [r["s2_id"] for r in bulk.collect()] == ["s1"]
     server.shutdown()

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from quillon.cli import answer, main
+from quillon.cli import answer, grid, main
 from quillon.engine import Engine
 from quillon.web import application
 
@@ -32,11 +32,15 @@ def test_models(engine):
 
 def test_lines(engine):
     text = answer(engine, "graph", "boolean", 1)
-    assert "2 matches" in text
-    assert "(unranked model; showing first 1)" in text
+    assert text.startswith("boolean: 2 found, 1 shown in the order of the corpus")
     assert "  1. [2020] Graph <neural> networks  (arxiv+s2)" in text
-    assert "query error: missing closing" in answer(engine, "(graph", "boolean", 5)
-    assert answer(engine, "nothing", "bm25", 5) == "  no matches"
+    assert answer(engine, "(graph", "boolean", 5) == "cannot read this query: missing closing parenthesis"
+    assert answer(engine, "nothing", "bm25", 5).startswith("bm25: 0 found, 0 shown")
+    assert answer(engine, "graph", "bm25", 0).startswith("bm25: 2 found, 0 shown")
+
+
+def test_grid():
+    assert grid(("a", "number"), [("x", 1234), ("long", None)]).splitlines() == ["a    | number", "-----+-------", "x    |  1,234", "long |"]
 
 
 def get(app, query):
@@ -49,6 +53,8 @@ def test_page(engine):
     home, status = get(app, "")
     assert status == "200 OK"
     assert "3 documents" in home
+    assert "<tr><th>s2<td>2" in home
+    assert "Graph &lt;neural&gt; networks" in home
     body, _ = get(app, "q=graphs&model=unknown")
     assert "<mark>Graph</mark> &lt;neural&gt; networks" in body
     assert "A, B, C et al." in body
@@ -68,8 +74,8 @@ def test_commands(spark, corpus, tmp_path, capsys):
     main(["evaluate", "--corpus", path, "--judgments", str(tmp_path / "j.json"), "--per-query"], spark)
     main(["cluster", "--corpus", path, "--k", "2"], spark)
     out = capsys.readouterr().out
-    assert "Documents indexed : 3" in out
-    assert "2 matches" in out
-    assert "bm25" in out
-    assert "P@5=0.20  dough" in out
-    assert "Cluster 0" in out
+    assert "documents        | 3.0000" not in out
+    assert "documents" in out
+    assert "bm25: 2 found" in out
+    assert "dough" in out
+    assert "#0" in out
