@@ -8,10 +8,12 @@ it are counted; its composite density is
 (with 1 in the place of a zero), where l and C0 stand for the link characters and characters of the body. So text with few
 tags is dense, and links make it thin. The density sum of a node is the sum of its children's densities. The node with the
 largest density sum holds the article; the smallest density on the path from it up to the body is the threshold that its
-blocks have to reach, unless a block's text is mostly free of links. Unless an article or main element is around that node,
-the threshold holds for the whole body: each block element that reaches it adds the largest density sum below it, in the
-order of the page. Elements that never hold an article (menus, headers,
-footers, asides, forms, scripts, styles, notices, adverts, reader comments), known by tag, role, class or id, go first.
+blocks have to reach, unless a block's text is mostly free of links. The threshold holds for the whole body: each block element that
+reaches it adds the largest density sum below it, and where the added parts have an element of their own around them, that is the
+article; so is an element around it that holds little more, like a heading. No tag decides this choice.
+
+Parts that never hold an article go first: by tag or role menus, footers, asides, forms, scripts, styles, dialogs, and headers of the page (that of an article stays);
+by class or id containers that are named as such, notices, adverts or reader comments, unless one holds half of the page's text in blocks of its own.
 
 Defined results: a null or empty page has an empty text; broken markup is repaired as browsers do in the common cases (an
 open p ends at the next block, unknown end tags are ignored, open elements end with the page); every text inside a block is
@@ -37,44 +39,47 @@ SPACE = re.compile(r"\s+")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - frozenset("body caption dd dt html li tbody td tfoot th thead tr".split()) | frozenset(["hr"])
-DROP = frozenset("nav header footer aside form button dialog menu noscript script style template iframe select textarea svg math object head title label input fieldset canvas audio video".split())
+DROP = frozenset("nav header footer aside form button dialog menu noscript script style template iframe select textarea svg object head title input canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 SIBLING_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span abbr cite mark q sub sup ins del kbd samp var time".split())
 
 # Words in class or id that mark a part of a page that is no article.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login toolbar widget pagination pager skip hidden copyright disclaimer legal".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login toolbar widget pagination pager skip hidden".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-KEEP = frozenset("article main".split())
+# Elements whose class or id tells what they contain; that of a paragraph or of a phrase does not make it another part of the page.
+CONTAINERS = frozenset("div section ul ol dl table figure center details span ins a p".split())
+OWN = frozenset("article main section".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "links", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "drop", "doubt", "chars", "tags", "links", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
-        self.tag, self.parent, self.drop, self.kids = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, doubt: bool = False) -> None:
+        self.tag, self.parent, self.drop, self.doubt, self.kids = tag, parent, drop, doubt, []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _unwanted(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is no article by its tag, role or style, and whether its class or id says so."""
     if tag in DROP:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main", "h1"):
-        return False
+        return True, False
+    if not attrs or tag in ("html", "body"):
+        return False, False
+    doubt = False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)
-            if MARKS & set(SPLIT.split(spaced.lower())):
-                return True
+            doubt = doubt or tag in CONTAINERS and bool(MARKS & set(SPLIT.split(spaced.lower())))
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs))
+            return True, False
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)), doubt
 
 
 def parse(html: str) -> Node:
@@ -126,7 +131,7 @@ def parse(html: str) -> Node:
                     up = up.parent
                 while up.tag in ends:
                     now = up = leave(up.parent)
-        node = Node(tag, now, _unwanted(tag, attrs))
+        node = Node(tag, now, *_unwanted(tag, attrs))
         now.kids.append(node)
         if tag in RAW:
             node.drop, raw = True, tag
@@ -137,19 +142,27 @@ def parse(html: str) -> Node:
 
 
 def _order(root: Node) -> list[Node]:
-    """Nodes, parents first, without dropped parts. A header keeps its place if it belongs to an article: its heading counts."""
+    """Nodes, parents first, without dropped parts. The header of an article or section stays. A part in doubt goes unless it holds half of all text, in blocks."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
-        if node.drop:
-            if not (node.tag == "header" and inside):
-                node.kids = []
-                continue
-            node.kids = [k for k in node.kids if isinstance(k, Node) and re.fullmatch("h[1-6]|hgroup|div", k.tag) and not k.drop]
-            node.drop = False
+        if node.drop and not (node.tag == "header" and inside):
+            node.drop, node.kids = True, []
+            continue
+        node.drop = False
         out.append(node)
-        todo += [(k, inside or node.tag in KEEP) for k in reversed(node.kids) if isinstance(k, Node)]
-    return out
+        todo += [(k, inside or node.tag in OWN) for k in reversed(node.kids) if isinstance(k, Node)]
+    if not any(x.doubt for x in out):
+        return out
+    size: dict[Node, int] = {}
+    for x in reversed(out):
+        size[x] = sum(len(SPACE.sub("", k)) if isinstance(k, str) else size.get(k, 0) for k in x.kids)
+    gone: set[Node] = set()
+    for x in out:
+        if x.parent in gone or x.doubt and not (2 * size[x] >= size[root] and any(isinstance(k, Node) and k.tag in BLOCK for k in x.kids)):
+            x.drop, x.kids = True, []
+            gone.add(x)
+    return [x for x in out if x not in gone]
 
 
 def _measure(nodes: list[Node]) -> Node:
@@ -173,7 +186,7 @@ def _measure(nodes: list[Node]) -> Node:
             base = math.log(c / max(1, c - x.links) * x.links + ratio * c + math.e)
             x.density = max(0.0, c / t * math.log(max(math.e, c / l * t / a)) / base)
     for x in nodes:
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.drop)
+        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.drop and k.tag not in FORMATTING)  # phrases are text
     return body
 
 
@@ -183,12 +196,6 @@ def _best(nodes: list[Node], body: Node) -> Node:
         best = body
     while best.parent is not None and best is not body and best.tag not in BLOCK:
         best = best.parent
-    # parts of one article lie side by side: an article or main element around the best node is the subtree
-    up = best
-    while up is not None and up is not body:
-        if up.tag in KEEP:
-            return up
-        up = up.parent
     return best
 
 
@@ -258,6 +265,27 @@ def _tops(nodes: list[Node], best: Node, threshold: float) -> list[Node]:
     return out
 
 
+def _around(tops: list[Node], body: Node, more: float = 1.1, words: int = 120) -> list[Node]:
+    """The element below the body that holds all of these parts, if there is one, or one around it that holds little more."""
+
+    def path(x: Node) -> list[Node]:
+        out = []
+        while x is not None:
+            out.append(x)
+            x = x.parent
+        return out[::-1]
+
+    common = path(tops[0])
+    for t in tops[1:]:
+        common = [a for a, b in zip(common, path(t), strict=False) if a is b]
+    top = common[-1]
+    if top is body or body not in common:
+        return tops
+    while top.parent is not body and top.parent.chars <= more * top.chars + words:
+        top = top.parent
+    return [top]
+
+
 def article(html: str | None) -> str:
     if not html:
         return ""
@@ -268,8 +296,7 @@ def article(html: str | None) -> str:
     while up is not None:
         threshold = min(threshold, up.density)
         up = None if up is body else up.parent
-    tops = [best] if best.tag in KEEP else _tops(nodes, best, threshold)
-    return "\n\n".join(b for x in tops for b in _blocks(x, threshold))
+    return "\n\n".join(b for x in _around(_tops(nodes, best, threshold), body) for b in _blocks(x, threshold))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

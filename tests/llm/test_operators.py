@@ -248,7 +248,10 @@ PARA = "A paragraph with enough words of running text to be taken for a part of
     [
         (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a\n\nb"), ("<div>a<b>c", "ac"), ("<p>x<!-- no --><script>if(a<b)</script>y", "xy"),
         (f"<body><nav><a href=/>Home</a></nav><div class=post><h2>T</h2><p>{PARA}</p></div><div id=comments><p>{PARA}</p></div></body>", f"T\n\n{PARA}"),
-        (f"<header>H</header><main><article><header><h1>Title</h1><p>by</p></header><p>{PARA}</p><ul><li>one<li>two</ul></article><aside><p>{PARA}</p></aside></main><footer>f</footer>", f"Title\n\n{PARA}\n\none\n\ntwo"),
+        (f"<header>H</header><main><article><header><h1>Title</h1><p>by</p></header><p>{PARA}</p><ul><li>one<li>two</ul></article><aside><p>{PARA}</p></aside></main><footer>f</footer>", f"Title\n\nby\n\n{PARA}\n\none\n\ntwo"),
+        (f"<div class='wrap no-sidebar'><div class='a menu-open'><p>{PARA}</p><p class=legal>{PARA} L</p></div></div>", f"{PARA}\n\n{PARA} L"),
+        (f"<div><p>{PARA} <math><mi>x</mi></math> and <label>this</label></p><p class=note>{PARA}</p></div>", f"{PARA} x and this\n\n{PARA}"),
+        ("<div class=ad>Buy this now, it is cheap and good for you.</div><article><h1>Short</h1></article>", "Short"),
         (f"<div class='cookie-notice'>{PARA}</div><div><p>{PARA}  &nbsp; x<br>y</p><form>{PARA}</form></div>", f"{PARA} x y"),
         (f"<div><p>{PARA} a &lt; b</p><p>{PARA}</p></div><div class=sidebarRight>{PARA}</div><textarea><p>{PARA}</textarea>", f"{PARA} a < b\n\n{PARA}"),
     ],
@@ -257,6 +260,11 @@ def test_extraction(html, expected):
     assert extract.article(html) == expected
 
 
+def test_densities_choose_without_article_tags(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert extract.article(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == extract.article(r["html"])
+
+
 def test_an_article_in_two_containers():
     half = lambda c: "".join(f"<p>{c}{k} {PARA}</p>" for k in range(3))
     links = "<div>" + "".join(f"<p><a href=/{k}>Another page {k}</a></p>" for k in range(9)) + "</div>"
