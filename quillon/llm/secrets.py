@@ -4,8 +4,8 @@ A candidate is a long run of key characters, a value of at least eight character
 (quoted, or unquoted up to white space or a quote, without closing punctuation), or the head of a private key. A run ends
 before the = or : of an assignment, so a value is judged with its name on the left.
 Its features are its length, its transitions between characters (changes of class, and how many pairs of letters are
-those of common words), the share that dictionary words cover, signs of a path, and the words before and after it. A
-forest, trained from labelled findings, removes the false positives.
+those of common words), the share that dictionary words cover, signs of a path, and the words before and after it. None of them knows
+the form of a vendor's keys or a list of placeholders. A forest, trained from labelled findings, removes the false positives.
 
 The labelled findings at hand are made by a rule (FINDINGS of them, the documented bound): keys and passwords of common
 forms in their usual places, and the hashes, names, paths, numbers, words and placeholders that scanners mistake for them.
@@ -43,7 +43,7 @@ PAIRS = tuple("th he in er an re on at en nd ti es or te of ed is it al ar st to
 BEFORE_SECRET = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api.?key|access.?key|credentials?|auth|bearer|private.?key)[^A-Za-z0-9]{0,8}$"
 BEFORE_HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|hash|digest|uuid|guid|id|revision|version|build|url|href|src|path|file|integrity|etag)[^A-Za-z0-9]{0,8}$"
 
-NAMES = ("length", "digits", "uppers", "lowers", "others", "changes", "pairs", "distinct", "hex", "dictionary", "longest_letters", "slashes", "path_before", "secret_before", "harmless_before", "assigned", "quoted", "known_form", "placeholder")
+NAMES = ("length", "digits", "uppers", "lowers", "others", "changes", "pairs", "distinct", "hex", "dictionary", "longest_letters", "slashes", "path_before", "secret_before", "harmless_before", "assigned", "quoted")
 
 
 def features(x: DataFrame) -> DataFrame:
@@ -71,8 +71,6 @@ def features(x: DataFrame) -> DataFrame:
         "harmless_before": flag(left.rlike(BEFORE_HARMLESS)),
         "assigned": flag(left.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(left.rlike("[\"']$") & right.rlike("^[\"']")),
-        "known_form": flag(c.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^xox[abprs]-|^eyJ[A-Za-z0-9_-]{10,}|PRIVATE KEY")),
-        "placeholder": flag(low.rlike(r"example|your|placeholder|changeme|xxxx|1234567|(.)\1{5}")),
     }
     return x.withColumns({name: values[name].cast("double") for name in NAMES})
 

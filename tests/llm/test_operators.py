@@ -580,6 +580,34 @@ def test_forest_on_held_out_findings(spark):
     assert got.where((F.col("score") >= 0.5) == (F.col("label") == 1)).count() / got.count() > 0.97
 
 
+def test_forest_on_forms_that_it_was_not_trained_on(spark):
+    rng = random.Random(77)
+    letters, hexa = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    words = "river planet copper window orchard signal market bottle lantern meadow quarter velvet".split()
+    run = lambda n, a=letters: "".join(rng.choices(a, k=n))
+    some = lambda sign, n=4: sign.join(rng.choices(words, k=n))
+    kinds = [
+        lambda: ("slack_bot: ", f"xoxb-{run(12, '0123456789')}-{run(24)}", " ok", 1), lambda: ("Authorization: Bearer ", f"eyJ{run(30)}.{run(40)}.{run(43)}", " ", 1), lambda: ("STRIPE_KEY=", f"rk_live_{run(24)}", " ", 1),
+        lambda: ("db_pass: '", run(14, letters + "#%!"), "' ,", 1), lambda: ("export NPM_TOKEN=", f"npm_{run(36)}", " ", 1), lambda: ('"credential": "', run(44, letters + "+/"), '" }', 1),
+        lambda: ("see https://example.org/", some("/"), ".html", 0), lambda: ("class ", some("_").title().replace("_", ""), "(Base)", 0), lambda: ("image: sha256:", run(64, hexa), " pulled", 0), lambda: ("order no ", run(16, "0123456789"), " shipped", 0),
+        lambda: ('title = "', some("-"), '" ', 0), lambda: ("uuid ", "-".join(run(n, hexa) for n in (8, 4, 4, 4, 12)), " x", 0), lambda: ("import ", some("."), " as q", 0), lambda: ("path=/", some("/", 5), " end", 0),
+    ]
+    rows = []
+    for k in range(600):
+        left, value, right, label = rng.choice(kinds)()
+        left = f"{some(' ')} {left}"
+        rows.append((k, left + value + right + some(" "), len(left), len(left) + len(value), label))
+    model = secrets.train(secrets.findings(spark))
+    hits = {}
+    for r in secrets.judged(secrets.candidates(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")), model).where("score >= 0.5").collect():
+        hits.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    found = [any(a < hi and b > lo for a, b in hits.get(k, [])) for k, _, lo, hi, _ in rows]
+    true = sum(f for f, r in zip(found, rows, strict=True) if r[4])
+    wrong = sum(r[0] in hits for r in rows if not r[4])
+    assert true >= 0.95 * sum(r[4] for r in rows)
+    assert true >= 0.85 * (true + wrong)
+
+
 def test_secret_odd_rows(odd, none):
     assert secrets.candidates(odd).count() == 2  # the long runs
     assert secrets.candidates(none).count() == 0
