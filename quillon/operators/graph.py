@@ -79,6 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node_type: str = "l
     scratch = scratch or Scratch(edges.sparkSession)
     e = edges.select(F.col(a).cast(node_type).alias("u"), F.col(b).cast(node_type).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e, before = scratch.keep(e.distinct()), None
+    few = e.sparkSession.sparkContext.defaultParallelism
 
     def star(x: DataFrame) -> DataFrame:
         """x with m, the least neighbour of u."""
@@ -86,10 +87,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node_type: str = "l
         return salted_join(x, least.select("u", "m"), "u", least.select("u", "n"))
 
     while not e.isEmpty():
+        parts = max(few, before[0] // 250_000) if before else None  # a small graph is not written as many small files
+        compact = lambda x: x.coalesce(parts) if parts else x  # noqa: E731, B023
         both = star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = scratch.keep(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = scratch.keep(compact(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()))
         centres = large.groupBy("u").agg(F.min("v").alias("v"))
-        small = scratch.keep(star(large).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(centres).distinct())
+        small = scratch.keep(compact(star(large).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(centres).distinct()))
         scratch.drop(e, large)
         e = small
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
