@@ -3,7 +3,7 @@
 A line (trimmed of spaces) is the set of its shingles of eight characters in lower case, one from every character on; a line of
 fewer characters is one shingle. Forty independent minima over the set make its signature, ten bands of four its keys: two
 lines with a Jaccard index of 0.8 share a key with probability 0.995, of 0.85 with 0.999, whatever their lengths. Lines that
-share a key are candidates, but for those whose signatures agree in less than half of what such an index makes likely. All lines of a bucket are compared with its first one, by exact Jaccard on the whole sets, and
+share a key are candidates, but for those whose signatures agree in fewer than half of their places (one in 10^5 of such pairs). All lines of a bucket are compared with its first one, by exact Jaccard on the whole sets, and
 verified links go to a distributed union-find; then those lines of a bucket that are still in different components are
 compared with each other, in blocks. So every candidate pair is verified or already joined, no bucket of near copies emits its
 pairs, and no large bucket lands in one task. Of each component the first line by (doc_id, line number) stays.
@@ -127,8 +127,20 @@ def shingle_sets(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
 
 
 def likely(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """Whether signatures agree in half as many places as two sets with a Jaccard index of `least` do on average. Of such sets fewer than one in 10^6 does not."""
-    return (a == b).sum(axis=1) >= least / 2 * a.shape[1]
+    """Whether signatures agree in 5/8 as many places as two sets with a Jaccard index of `least` do on average (half of forty). Of such sets one in 10^5 does not."""
+    return (a == b).sum(axis=1) >= 0.625 * least * a.shape[1]
+
+
+def likely_pairs(a: np.ndarray, b: np.ndarray, open_: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the signatures a[i] and b[j] that likely() lets through, where the matrix open_ holds."""
+    i, j = np.nonzero(open_)
+    if len(i) <= 1024:
+        good = likely(a[i], b[j], least)
+        return i[good], j[good]
+    same = np.zeros(open_.shape, np.uint8)
+    for k in range(a.shape[1]):
+        same += a[:, k, None] == b[None, :, k]
+    return np.nonzero(open_ & (same >= 0.625 * least * a.shape[1]))
 
 
 def alike(a: list[str], b: list[str], least: float = LEAST) -> np.ndarray:
@@ -151,35 +163,71 @@ def alike(a: list[str], b: list[str], least: float = LEAST) -> np.ndarray:
     return out
 
 
+def common(h: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of `left` has in common with each of `right`, as a matrix, by products of incidence matrices. Set k is h[bounds[k] : bounds[k + 1]]."""
+
+    def cells(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = bounds[side + 1] - bounds[side]
+        place = np.arange(size.sum()) + np.repeat(bounds[side] - (np.cumsum(size) - size), size)
+        return np.repeat(np.arange(len(side)), size), h[place]
+
+    (la, ha), (lb, hb) = cells(left), cells(right)
+    both = np.intersect1d(ha, hb)
+    out, wide = np.zeros((len(left), len(right)), np.float32), max(64, (1 << 20) // max(len(left), len(right)))
+    sides = []
+    for owner, x in ((la, ha), (lb, hb)):
+        at = np.searchsorted(both, x).clip(max=max(0, len(both) - 1))
+        known = np.flatnonzero(both[at] == x) if len(both) else np.zeros(0, np.int64)
+        order = known[np.argsort(at[known], kind="stable")]
+        sides.append((owner[order], at[order]))
+    for k in range(0, len(both), wide):
+        m = []
+        for n, (owner, at) in zip((len(left), len(right)), sides, strict=True):
+            lo, hi = np.searchsorted(at, (k, k + wide))
+            x = np.zeros((n, min(wide, len(both) - k)), np.float32)
+            x[owner[lo:hi], at[lo:hi] - k] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
 class Comparer:
     """Compares the lines of buckets that are in different components, each two of them once as far as it remembers."""
 
-    def __init__(self, least: float = LEAST, most: int = SEEN) -> None:
-        self.least, self.most, self.done = least, most, set()
+    def __init__(self, least: float = LEAST, most: int = SEEN, many: int = 256) -> None:
+        self.least, self.most, self.many, self.done = least, most, many, set()
 
     def links(self, key: np.ndarray, side: np.ndarray, ids: np.ndarray, roots: np.ndarray, lines: list[str], same: np.ndarray) -> list[tuple[int, int]]:
         """Links between roots. Rows are sorted by key, the number of a bucket's pair of blocks; same: whether both are one block."""
         names, first, at = np.unique(ids, return_index=True, return_inverse=True)
         low = [lines[k].lower() for k in first]
-        signed, found = signatures(low), []
+        signed, few, out, sets = signatures(low), [], set(), None
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
             left = np.arange(a, b) if same[a] else a + np.flatnonzero(side[a:b] == 0)
             right = left if same[a] else a + np.flatnonzero(side[a:b] == 1)
-            i, j = np.nonzero(roots[left][:, None] != roots[right][None, :])
+            open_ = roots[left][:, None] != roots[right][None, :]
+            i, j = likely_pairs(signed[at[left]], signed[at[right]], np.triu(open_) if same[a] else open_, self.least)
+            if len(i) <= self.many:
+                i, j = left[i], right[j]
+                few += zip(at[i].tolist(), at[j].tolist(), roots[i].tolist(), roots[j].tolist(), strict=True)
+                continue
+            if sets is None:  # many pairs of few lines: all at once
+                owner, h = shingle_sets(low)
+                sets = h, np.searchsorted(owner, np.arange(len(low) + 1))
+            size = np.diff(sets[1])
+            both = common(*sets, at[left], at[right])[i, j]
             i, j = left[i], right[j]
-            if same[a]:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                hit = np.flatnonzero(likely(signed[at[i]], signed[at[j]], self.least))
-                found += zip(at[i[hit]].tolist(), at[j[hit]].tolist(), roots[i[hit]].tolist(), roots[j[hit]].tolist(), strict=True)
-        pairs = {(min(p, q), max(p, q)): (r, t) for p, q, r, t in found}
+            good = both >= (size[at[i]] + size[at[j]]) * (self.least / (1 + self.least)) - 1e-9
+            out.update(zip(roots[i[good]].tolist(), roots[j[good]].tolist(), strict=True))
+        pairs = {(min(p, q), max(p, q)): (r, t) for p, q, r, t in few}
         fresh = {p: r for p, r in pairs.items() if (names[p[0]], names[p[1]]) not in self.done}
         if len(self.done) > self.most:
             self.done.clear()
         self.done.update((names[p], names[q]) for p, q in fresh)
         good = alike([low[p] for p, _ in fresh], [low[q] for _, q in fresh], self.least)
-        return list({r for r, g in zip(fresh.values(), good, strict=True) if g})
+        out.update(r for r, g in zip(fresh.values(), good, strict=True) if g)
+        return list(out)
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -423,6 +423,10 @@ def test_a_bucket_of_many_blocks(spark):
     rows = [(7, k, k, x) for k, x in enumerate(lines)]
     got = {tuple(sorted(r)) for r in linededup._apart(spark.createDataFrame(rows, "key long, id long, root long, line string"), 0.8, 7).collect()}
     assert got == {(k, k + 30) for k in range(30)}
+    ids, zero = np.arange(60), np.zeros(60, int)
+    for many in (0, 10_000):  # by products of matrices, or pair by pair
+        found = linededup.Comparer(many=many).links(zero, zero, ids, ids, lines, np.ones(60, bool))
+        assert {tuple(sorted(p)) for p in found} == got
 
 
 def test_fuzzy_lines(spark):
