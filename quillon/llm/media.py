@@ -110,8 +110,11 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    """Up to the last end mark of the file: each update of it appends a startxref and an end mark of its own."""
+    other, end, p = b.find(b"%PDF-", at + 5), None, at
+    while (mark := b.find(b"%%EOF", p, other if other >= 0 else len(b))) >= 0 and b.find(b"startxref", p, mark) >= 0:
+        end = p = mark + 5
+    return ("application/pdf", end - at) if end else None
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:

@@ -103,6 +103,13 @@ def test_signatures(kind):
     assert not [s for s in media.sniff(blob[:-1], machine) if s[2] == kind and kind not in ("audio/flac",)]
 
 
+def test_updates_of_a_pdf_belong_to_it():
+    one, update = b"%PDF-1.4\nobj\nstartxref\n9\n%%EOF", b"\nobj\nstartxref\n40\n%%EOF"
+    blob = b"xx" + one + update + b" text %%EOF " + one
+    got = media.sniff(blob, media.automaton())
+    assert [(s, n) for s, n, t in got if t == "application/pdf"] == [(2, len(one + update)), (2 + len(one + update) + 12, len(one))]
+
+
 def test_sniffed_corrects_and_carves(spark):
     df = spark.createDataFrame([(1, bytearray(_png()), "image/jpeg"), (2, bytearray(b"ab" + _zip()), None), (3, None, "image/png")], "k long, blob binary, said string")
     got = {r["k"]: r for r in media.sniffed(df, "blob", "said").collect()}

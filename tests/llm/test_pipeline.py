@@ -48,6 +48,23 @@ def test_run_is_the_plain_pipeline(spark):
     assert set(docs.columns) - {"doc_id"} < set(got.columns)
 
 
+def test_run_on_odd_documents(spark, tmp_path):
+    """Nulls in all columns, repeated rows, one id over unequal texts, empty and long texts, and columns whose names are used inside."""
+    text = "Plain words of a first document that says something.\nAnd a second line of it, which nobody else has."
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (1, "Quite another text under the same number, with words of its own.", None, "b"), (2, None, "en", "a"), (3, "", None, None), (None, "A text that has no number, but words enough to be kept by all.", "de", "b"), (4, "long word " * 20_000, "en", "a"), (5, " \n\t", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(["row", "id", "mix", "_doc", "_text", "maybe", "hash", "gone", "tokens", "topic", "h", "kept", "line"])})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert out.columns == [*docs.columns, "mix_"]
+    known = {t for _, t, *_ in rows}
+    assert {r["text"] for r in got} <= known
+    assert len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_of_empty_documents(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
