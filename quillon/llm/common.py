@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded(df: DataFrame) -> DataFrame:
     """For what goes on to Python: batches end at some bytes, not only at a number of rows, so very long texts come few at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 
 

@@ -35,7 +35,7 @@ BANDS, ROWS, LEAST, WIDTH = 10, 4, 0.8, 8
 BLANK = " \t\n\x0b\x0c\r"
 BLOCK = 256  # lines of one bucket that are compared at once
 CHUNK = 1 << 17  # characters whose shingles are hashed at once
-SEEN = 1 << 20  # lines whose keys a task remembers to have given already
+SEEN = 1 << 18  # lines whose keys a task remembers to have given already, and pairs that it has compared
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(6).integers(1, 1 << 32, 256)]
 
@@ -221,10 +221,11 @@ class Comparer:
             good = both >= (size[at[i]] + size[at[j]]) * (self.least / (1 + self.least)) - 1e-9
             out.update(zip(roots[i[good]].tolist(), roots[j[good]].tolist(), strict=True))
         pairs = {(min(p, q), max(p, q)): (r, t) for p, q, r, t in few}
-        fresh = {p: r for p, r in pairs.items() if (names[p[0]], names[p[1]]) not in self.done}
+        known = lambda p, q: (int(names[p]) * 0x9E3779B97F4A7C15 ^ int(names[q])) & ((1 << 64) - 1)
+        fresh = {p: r for p, r in pairs.items() if known(*p) not in self.done}
         if len(self.done) > self.most:
             self.done.clear()
-        self.done.update((names[p], names[q]) for p, q in fresh)
+        self.done.update(known(*p) for p in fresh)
         good = alike([low[p] for p, _ in fresh], [low[q] for _, q in fresh], self.least)
         out.update(r for r, g in zip(fresh.values(), good, strict=True) if g)
         return list(out)
