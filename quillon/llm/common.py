@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.graph import Scratch, components, cut, delete_folder, salted_join, shared_folder
 
-__all__ = ["Scratch", "bounded", "components", "counted", "cut", "delete_folder", "salted_join", "shared_folder", "sifted", "table", "with_types"]
+__all__ = ["Scratch", "bounded", "components", "counted", "cut", "delete_folder", "give_back", "salted_join", "shared_folder", "sifted", "table", "with_types"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, at the end of a batch: workers live on, and would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def counted(df: DataFrame, key: str) -> DataFrame:
     """(key, n): how often each key stands, as salted_join() wants it."""
     return df.groupBy(key).agg(F.count("*").alias("n"))

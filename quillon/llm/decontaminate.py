@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, table, with_types
+from quillon.llm.common import bounded, give_back, table, with_types
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -264,6 +264,7 @@ def _matcher(shared):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(shared.value.matches(list(batch)))
+            give_back()
 
     return run
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, bounded, components, counted, salted_join, sifted, table
+from quillon.llm.common import Scratch, bounded, components, counted, give_back, salted_join, sifted, table
 
 BANDS, ROWS, LEAST, WIDTH = 10, 4, 0.8, 8
 BLANK = " \t\n\x0b\x0c\r"
@@ -258,6 +258,8 @@ def line_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seen: int =
             one = keys[:, :1] == keys[:, 1:2] if bands > 1 else np.ones((len(names), 1), bool)
             give = np.concatenate((np.ones((len(names), 1), bool), ~one & np.ones((1, bands - 1), bool)), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(np.repeat(names, give.sum(axis=1)))], names=["key", "id"])
+            del batch, fresh, keys, give, one
+            give_back()
 
     return bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "key long, id long")
 
@@ -300,6 +302,7 @@ def _apart(open_: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
             same = ((rows["key"] == last["key"]) & (rows["lo"] == last["lo"]) & (rows["hi"] == last["hi"])).to_numpy()
             held = rows[same]
             yield links(rows[~same])
+            give_back()
         if held is not None:
             yield links(held)
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, bounded, counted, salted_join, table
+from quillon.llm.common import Scratch, bounded, counted, give_back, salted_join, table
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, ALPHA, BUDGET, LEVELS = 8, 0.5, 0.5, 1_000_000
@@ -106,6 +106,7 @@ def vectorized(docs: DataFrame) -> DataFrame:
         for batch in texts:
             rows = [vector(t) for t in batch]
             yield pd.DataFrame({"tokens": [n for n, _ in rows], "vector": [v.astype(np.float32) for _, v in rows]})
+            give_back()
 
     return _base(docs).withColumn("m", run("text")).select("doc_id", "h", "source", "lang", "m.tokens", "m.vector")
 
@@ -281,6 +282,7 @@ def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
             rows = [vector(t) for t in batch]
             at = nearest(np.array([v.astype(np.float32) for _, v in rows]).reshape(-1, SIZE), centres)
             yield pd.DataFrame({"tokens": [n for n, _ in rows], "topic": at.astype(str)})
+            give_back()
 
     x = _base(docs).withColumn("m", measure("text")).select("row", "h", "source", "lang", "m.tokens", "m.topic")
     name = "mix"

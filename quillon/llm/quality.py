@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, table, with_types
+from quillon.llm.common import bounded, give_back, table, with_types
 
 SAMPLE = 6000
 PAIRS = 60_000
@@ -172,6 +172,7 @@ def scored(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(judge(shared.value, batch))
+            give_back()
 
     return bounded(docs).withColumn("score", run(F.col(text).cast("string")))
 

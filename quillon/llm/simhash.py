@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, bounded, components, counted, salted_join, sifted, table, with_types
+from quillon.llm.common import Scratch, bounded, components, counted, give_back, salted_join, sifted, table, with_types
 
 RADIUS = 4
 LEAF = 256
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "fp": fp.view(np.int64)})
+            give_back()
 
     x = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _row(docs).alias("row"))
     return bounded(x).mapInPandas(run, "doc_id long, row long, fp long")
