@@ -8,9 +8,10 @@ verified links go to a distributed union-find; then those lines of a bucket that
 compared with each other, in blocks. So every candidate pair is verified or already joined, no bucket of near copies emits its
 pairs, and no large bucket lands in one task. Of each component the first line by (doc_id, line number) stays.
 
-Shingles, signatures and Jaccard are Arrow-batched numpy: with DataFrame functions alone, every character's shingle is a string and
-an object (figures in the README). All else are DataFrame operations. A line is known by a 64-bit hash of its text: n different
-lines have a chance of n^2 / 2^65 that two are mixed up; shingles are compared by 48 bits.
+All of it is DataFrame operations: a line's characters are made four bytes wide, rows carry the hashes of sixteen shingles each, and
+minima are aggregates of generated code. The sets of a pair are made where the pair is. A line is known by a 64-bit hash of its text: n different
+lines have a chance of n^2 / 2^65 that two are mixed up; shingles are compared by 64 bits. The functions over lists (signatures, band_keys, alike,
+Comparer) are the same method in numpy, for the driver and tests; no query uses them.
 
 Defined results: lines of white space only always stay; a null text stays null and an empty one empty; rows that repeat a
 doc_id count as one document, so repeated rows stay alike; a null doc_id is a document of its own, the first in order; of
@@ -23,19 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, bounded, components, counted, give_back, salted_join, sifted, table
+from quillon.llm.common import Scratch, components, counted, salted_join, sifted, table
 
 BANDS, ROWS, LEAST, WIDTH = 10, 4, 0.8, 8
-BLANK = " \t\n\x0b\x0c\r"
 BLOCK = 256  # lines of one bucket that are compared at once
 CHUNK = 1 << 17  # characters whose shingles are hashed at once
-SEEN = 1 << 18  # lines whose keys a task remembers to have given already, and pairs that it has compared
+SEEN = 1 << 18  # pairs that a Comparer remembers to have compared
+STEP = 16  # shingles whose hashes one row carries
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(6).integers(1, 1 << 32, 256)]
 
@@ -237,125 +236,109 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.select("doc", "pos", F.trim("line").alias("line")).where(F.col("line").rlike(r"\S")).select("doc", "pos", F.xxhash64("line").alias("id"), "line")
 
 
-def line_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seen: int = SEEN) -> DataFrame:
-    """(key, id) of each line; a task gives the keys of a line that stands many times once, as far as it remembers."""
+def shingle_rows(texts: DataFrame, *by: str) -> DataFrame:
+    """(by, last, h0, h1, ...): hashes of the shingles of each line, STEP of them a row; the end of the last row repeats the last one. texts: by, line.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for batch in batches:
-            fresh: dict[int, str] = {}
-            for text in batch.column(0).to_pylist():
-                for line in text.split("\n") if text else ():
-                    if (line := line.strip(" ")) and line.strip(BLANK):
-                        name = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
-                        if name not in known and name not in fresh:
-                            fresh[name] = line.lower()
-            if len(known) + len(fresh) > seen:
-                known.clear()
-            known.update(fresh)
-            names = np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)
-            keys = band_keys(list(fresh.values()), bands, rows).view(np.int64)
-            one = keys[:, :1] == keys[:, 1:2] if bands > 1 else np.ones((len(names), 1), bool)
-            give = np.concatenate((np.ones((len(names), 1), bool), ~one & np.ones((1, bands - 1), bool)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(np.repeat(names, give.sum(axis=1)))], names=["key", "id"])
-            del batch, fresh, keys, give, one
-            give_back()
+    Characters are four bytes wide, so the shingle from any of them on is a slice; `last` is where the last begins.
+    """
+    x = texts.select(*by, F.encode(F.lower("line"), "UTF-32").alias("wide")).select(*by, "wide", F.expr(f"greatest(octet_length(wide) - {4 * WIDTH - 1}, 1)").alias("last"))
+    x = x.select(*by, "wide", "last", F.explode(F.expr(f"sequence(1, last, {4 * STEP})")).alias("at"))
+    return x.select(*by, "last", *[F.xxhash64(F.expr(f"substring(wide, least(at + {4 * k}, last), {4 * WIDTH})")).alias(f"h{k}") for k in range(STEP)])
 
-    return bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "key long, id long")
 
+def signed(texts: DataFrame, size: int = BANDS * ROWS) -> DataFrame:
+    """(id, single, signature): minima of `size` hash functions over the shingles of each line, and whether it has one place for a shingle only."""
+    low = [F.col(f"h{k}").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"h{k}") for k in range(STEP)]
+    hashed = lambda k, by: (F.col(f"h{k}") * F.lit(by)).bitwiseAND(F.lit(0x7FFFFFFF))
+    least = [F.min(F.least(*[hashed(k, _MULTIPLIERS[i] >> 1 | 1) for k in range(STEP)])).alias(f"m{i}") for i in range(size)]
+    x = shingle_rows(texts, "id").select("id", "last", *low).groupBy("id").agg(F.max("last").alias("last"), *least)
+    return x.select("id", (F.col("last") == 1).alias("single"), F.array(*[F.col(f"m{i}").cast("int") for i in range(size)]).alias("signature"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of line ids whose sets are alike; texts: id, line. Many pairs may share an a, so that side is salted."""
 
-    @F.pandas_udf("boolean")
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(alike(a.tolist(), b.tolist(), least))
+def line_keys(signs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, id): the keys of each line; of one of a single shingle the first."""
+    keys = [F.xxhash64(F.lit(b), *[F.get("signature", F.lit(b * rows + r)) for r in range(rows)]) for b in range(bands)]
+    return signs.select(F.explode(F.when(F.col("single"), F.array(keys[0])).otherwise(F.array(*keys))).alias("key"), "id")
 
-    x = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    x = salted_join(x, texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a", counted(pairs, "a"))
-    return bounded(x).where(same("la", "lb")).select("a", "b")
 
+def _near(least: float, size: int = BANDS * ROWS) -> Column:
+    """Whether the signatures of a and b agree in as many places as likely() asks for."""
+    return sum((F.get("signaturea", F.lit(i)) == F.get("signatureb", F.lit(i))).cast("int") for i in range(size)) >= 0.625 * least * size
 
-def _apart(open_: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between roots, of lines of one bucket in different components. open_: key, id, root, line.
 
-    A bucket of many lines is dealt out in blocks: each pair of blocks is a task's work of its own.
-    """
-    n = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
-    x = open_.join(n, "key").withColumn("b", F.pmod(F.col("id"), F.col("k")).cast("int"))
-    x = x.select("key", "id", "root", "line", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    x = x.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "root", "line")
+def _paired(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, ...) with this column of both lines, its name followed by a or b. Many pairs may share an a, so that side is salted."""
+    side = lambda c: known.select(F.col("id").alias(c), F.col(column).alias(column + c))
+    return salted_join(pairs.join(side("b"), "b"), side("a"), "a", counted(pairs, "a"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compare = Comparer(least)
 
-        def links(rows: pd.DataFrame) -> pd.DataFrame:
-            group = rows[["key", "lo", "hi"]].to_numpy()
-            number = np.cumsum(np.append(True, (group[1:] != group[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
-            found = compare.links(number, rows["side"].to_numpy(), rows["id"].to_numpy(), rows["root"].to_numpy(), rows["line"].tolist(), (rows["lo"] == rows["hi"]).to_numpy()) if len(rows) else []
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _alike(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b, ...) of line ids whose sets are alike, exactly. The sets are made where the pair is, so no set is shuffled."""
+    x = _paired(pairs, known, "line").repartition("a", "b")
+    x = x.select(*pairs.columns, F.explode(F.array(*[F.struct(F.lit(c == "a").alias("first"), F.col(f"line{c}").alias("line")) for c in "ab"])).alias("side")).select(*pairs.columns, "side.*")
+    some = F.array(*[f"h{k}" for k in range(STEP)])
+    sides = [F.collect_list(F.when(F.col("first") == (c == "a"), some)).alias(c * 2) for c in "ab"]
+    x = shingle_rows(x, *pairs.columns, "first").groupBy(*pairs.columns).agg(*sides).select(*pairs.columns, *[F.array_distinct(F.flatten(c)).alias(c) for c in ("aa", "bb")])
+    return x.where(F.size(F.array_intersect("aa", "bb")) >= (F.size("aa") + F.size("bb")) * (least / (1 + least)) - 1e-9).select(*pairs.columns)
 
-        held = None
-        for batch in batches:  # sorted: all but the last group of a batch are whole
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows[["key", "lo", "hi"]].iloc[-1]
-            same = ((rows["key"] == last["key"]) & (rows["lo"] == last["lo"]) & (rows["hi"] == last["hi"])).to_numpy()
-            held = rows[same]
-            yield links(rows[~same])
-            give_back()
-        if held is not None:
-            yield links(held)
 
-    return bounded(x.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")).mapInPandas(run, "a long, b long")
+def _verified(pairs: DataFrame, known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) of line ids whose sets are alike, but for those that their signatures exclude."""
+    some = scratch.keep(_paired(pairs, known, "signature").where(_near(least)).select("a", "b"))
+    return _alike(some, known, least)
 
 
-def buckets(keys: DataFrame) -> DataFrame:
-    """(key, low, id): the different lines of each key that has several, and the smallest of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(parts: list[np.ndarray]) -> pa.RecordBatch:
-            key, name = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
-            new = np.append(True, key[1:] != key[:-1])[: len(key)]
-            other = new | np.append(True, name[1:] != name[:-1])[: len(key)]
-            key, name, new = key[other], name[other], new[other]  # in order of key and id, so low comes first
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(key)))
-            some = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, np.repeat(name[start], size), name)], names=["key", "low", "id"])
-
-        held: list[np.ndarray] = []
-        for batch in batches:  # sorted: all but the last key of a batch are whole
-            if not batch.num_rows:
-                continue
-            x = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
-            cut = int(np.searchsorted(x[0], x[0, -1], "left"))
-            if not cut and held and held[0][0, -1] == x[0, 0]:
-                held.append(np.stack([x[0][:1].repeat(len(u := np.unique(x[1]))), u]))  # one key over several batches
-                continue
-            yield found([*held, x[:, :cut]])
-            held = [x[:, cut:]]
-        yield found(held)
+def _apart(open_: DataFrame, least: float, block: int = BLOCK, known: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Links (a, b) between roots, of lines of one bucket in different components. open_: key, id, root, and line if `known` is not given.
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, low long, id long")
+    A bucket of many lines is dealt out in blocks: each pair of blocks is a key of its own.
+    """
+    scratch = scratch or Scratch(open_.sparkSession)
+    if known is None:
+        texts = open_.groupBy("id").agg(F.first("line").alias("line"))
+        known = scratch.keep(texts.join(signed(texts), "id"))
+    n = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    x = open_.select("key", "id", "root").join(n, "key").withColumn("b", F.pmod(F.col("id"), F.col("k")).cast("int"))
+    x = x.join(known.select("id", "signature"), "id")
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    x = x.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("left"), "id", "root", "signature")
+    x = scratch.keep(x)
+    at = ["key", "lo", "hi"]
+    left = x.where("left").select(*at, F.col("id").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("signaturea"))
+    right = x.where("not left or lo = hi").select(*at, F.col("id").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("signatureb"))
+    met = left.join(right, at).where((F.col("ra") != F.col("rb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))).where(_near(least))
+    first = F.col("a") < F.col("b")
+    pairs = scratch.keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(first, F.col("rb")).otherwise(F.col("ra")).alias("rb")).distinct())
+    scratch.drop(x)
+    return _alike(pairs, known, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, low, id): the lines of each key that has several, and the smallest of them. keys: each line of a key once."""
+    one = Window.partitionBy("key")
+    return keys.select("key", F.min("id").over(one).alias("low"), "id", F.max("id").over(one).alias("high")).where("low <> high").select("key", "low", "id")
 
 
 def line_links(docs: DataFrame, scratch: Scratch, bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> DataFrame:
     """(node, root): components of different lines that are alike, by the ids of lines."""
-    members = scratch.keep(buckets(line_keys(docs, bands, rows)))
+    once = lambda x: x.groupBy("id").agg(F.first("line").alias("line"))
+    signs = scratch.keep(signed(once(lines(docs).select("id", "line")), bands * rows))
+    members = scratch.keep(buckets(line_keys(signs, bands, rows)))
     stars = scratch.keep(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     wanted = scratch.keep(members.select("id").distinct())
-    some = sifted(lines(docs).select("id", "line"), "id", wanted).where("maybe").groupBy("id").agg(F.first("line").alias("line"))
-    texts = scratch.keep(some.join(wanted, "id", "left_semi"))
-    links = scratch.keep(_verified(stars, texts, least))
+    some = once(sifted(lines(docs).select("id", "line"), "id", wanted).where("maybe")).join(wanted, "id", "left_semi")
+    known = scratch.keep(some.join(sifted(signs, "id", wanted).where("maybe").select("id", "signature"), "id"))
+    scratch.drop(signs)
+    links = scratch.keep(_verified(stars, known, least, scratch))
     roots = scratch.keep(components(links, scratch=scratch))
     placed = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.keep(placed.join(mixed, "key", "left_semi").join(texts, "id").select("key", "id", "root", "line"))
-    more = scratch.keep(_apart(open_, least).distinct())
+    open_ = scratch.keep(placed.join(mixed, "key", "left_semi").select("key", "id", "root"))
+    more = scratch.keep(_apart(open_, least, known=known, scratch=scratch).distinct())
     merged = scratch.keep(components(more, scratch=scratch))  # of components, so a small graph
-    known = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    out = scratch.keep(known.union(merged.join(roots, "node", "left_anti").select("node", "root")))
-    scratch.drop(members, stars, wanted, texts, links, roots, open_, more, merged)
+    above = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    out = scratch.keep(above.union(merged.join(roots, "node", "left_anti").select("node", "root")))
+    scratch.drop(members, stars, wanted, known, links, roots, open_, more, merged)
     return out
 
 
@@ -374,38 +357,19 @@ def dropped(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFram
     return out
 
 
-def without(text: str | None, pos: list[int] | None, ids: list[int] | None) -> tuple[str | None, int]:
-    """A text without the lines at these places that have these ids, and how many it lost."""
-    if text is None or pos is None or not len(pos):
-        return text, 0
-    goes = {(int(p), int(i)) for p, i in zip(pos, ids, strict=True)}
-    places, every = {p for p, _ in goes}, text.split("\n")
-
-    def stays(k: int, line: str) -> bool:
-        if k not in places:
-            return True
-        name = xxhash.xxh64_intdigest(line.strip(" ").encode("utf-8", "surrogatepass"), 42)
-        return (k, name - (1 << 64) if name >> 63 else name) not in goes
-
-    out = [line for k, line in enumerate(every) if stays(k, line)]
-    return "\n".join(out), len(every) - len(out)
-
-
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """All columns of docs in a struct row, and of its text: n_lines, lost (lines) and text (what stays)."""
-
-    @F.pandas_udf("text string, lost long")
-    def rest(text: pd.Series, pos: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, p, i) for t, p, i in zip(text, pos, ids, strict=True)], columns=["text", "lost"])
-
     whole = F.col("whole")
     n_lines = F.coalesce(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     gone = dropped(docs, Scratch(docs.sparkSession), least)
     x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("whole"))
     x = sifted(x.withColumn("hash", F.xxhash64("id")), "hash", gone.select(F.xxhash64("doc").alias("hash"))).drop("hash")
-    some = x.where("maybe")
-    some = bounded(some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left"))  # only texts that may lose lines are shuffled and taken apart
-    some = some.select("row", n_lines, rest("whole", F.col("gone.pos"), F.col("gone.id")).alias("r")).select("row", "n_lines", "r.lost", "r.text")
+    some = x.where("maybe")  # only texts that may lose lines are shuffled and taken apart
+    some = some.join(gone, some["id"].eqNullSafe(gone["doc"]), "left").select("row", n_lines, "whole", "gone", F.split("whole", "\n").alias("every"))
+    some = some.withColumn("goes", F.expr("transform(filter(gone, g -> xxhash64(trim(get(every, g.pos))) = g.id), g -> g.pos)"))  # of rows of one doc_id those that hold the line there
+    some = some.withColumn("stays", F.expr("array_except(sequence(0, size(every) - 1), goes)"))
+    lost = F.coalesce(F.size("every") - F.size("stays"), F.lit(0)).cast("long").alias("lost")
+    some = some.select("row", "n_lines", F.when(F.col("stays").isNull(), 0).otherwise(lost).cast("long").alias("lost"), F.when(F.col("stays").isNull(), whole).otherwise(F.expr("array_join(transform(stays, k -> get(every, k)), '\n')")).alias("text"))
     return x.where("not maybe").select("row", n_lines, F.lit(0).cast("long").alias("lost"), whole.alias("text")).union(some)
 
 

@@ -2,6 +2,7 @@ import functools
 import hashlib
 import json
 import random
+import re
 import struct
 import zlib
 
@@ -456,6 +457,17 @@ def test_line_dedup_of_a_large_family(spark):
     assert [r["row"]["doc_id"] for r in got if r["text"]] == [0]
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Neither the result nor any table on the way to it."""
+    plans, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().toString()) or keep(self, df))
+    rows = [(1, "a line that stands twice\nand one that does not"), (2, "A line that stands twice!\nÄ line thät stands twice"), (3, "A line that stands twice")]
+    out = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {r["row"]["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "Ä line thät stands twice", 3: ""}
+    assert len(plans) > 5
+    assert not [p for p in [*plans, out._jdf.queryExecution().toString()] if re.search("MapInArrow|MapInPandas|EvalPython|InPandas|PythonUDF", p)]
+
+
 def test_lines_that_end_in_other_numbers_stay(spark):
     rows = [(1, "Order number for customer account 12345"), (2, "Order number for customer account 67890")]
     got = {r["row"]["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
