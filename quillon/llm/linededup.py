@@ -8,6 +8,9 @@ verified links go to a distributed union-find; then those lines of a bucket that
 compared with each other, in blocks. So every candidate pair is verified or already joined, no bucket of near copies emits its
 pairs, and no large bucket lands in one task. Of each component the first line by (doc_id, line number) stays.
 
+Many lines of a bucket are near, but not alike. Such pairs are told by the sizes of their sets and by bitmaps of them, which bound what two sets
+have in common and so exclude no pair that is alike; the sets of the pairs that are left are compared.
+
 All of it is DataFrame operations: a line's characters are made four bytes wide, rows carry the hashes of sixteen shingles each, and
 minima are aggregates of generated code. The sets of a pair are made where the pair is. A line is known by a 64-bit hash of its text: n different
 lines have a chance of n^2 / 2^65 that two are mixed up; shingles are compared by 64 bits. The functions over lists (signatures, band_keys, alike,
@@ -35,6 +38,7 @@ BLOCK = 256  # lines of one bucket that are compared at once
 CHUNK = 1 << 17  # characters whose shingles are hashed at once
 SEEN = 1 << 18  # pairs that a Comparer remembers to have compared
 STEP = 16  # shingles whose hashes one row carries
+WORDS = 32  # of 64 bits each, of a line's bitmap
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(6).integers(1, 1 << 32, 256)]
 
@@ -272,14 +276,45 @@ def _paired(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return salted_join(pairs.join(side("b"), "b"), side("a"), "a", counted(pairs, "a"))
 
 
+def _set(line: str) -> Column:
+    """The distinct hashes of the shingles of a line, those of shingle_rows(), in one row. The outer function holds the line's wide form, which else were made for each shingle."""
+    hashes = f"transform(sequence(1, greatest(octet_length(w) - {4 * WIDTH - 1}, 1), 4), i -> xxhash64(substring(w, i, {4 * WIDTH})))"
+    return F.get(F.expr(f"transform(array(encode(lower({line}), 'UTF-32')), w -> array_distinct({hashes}))"), F.lit(0))
+
+
+def _enough(both: Column, na: Column, nb: Column, least: float) -> Column:
+    return both >= (na + nb) * (least / (1 + least)) - 1e-9  # both / (na + nb - both) >= least
+
+
 def _alike(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b, ...) of line ids whose sets are alike, exactly. The sets are made where the pair is, so no set is shuffled."""
+    """Those pairs (a, b, ...) of line ids whose sets are alike, exactly. The sets are made where the pair is, in its row: no set is shuffled, sorted or spilled."""
     x = _paired(pairs, known, "line").repartition("a", "b")
-    x = x.select(*pairs.columns, F.explode(F.array(*[F.struct(F.lit(c == "a").alias("first"), F.col(f"line{c}").alias("line")) for c in "ab"])).alias("side")).select(*pairs.columns, "side.*")
-    some = F.array(*[f"h{k}" for k in range(STEP)])
-    sides = [F.collect_list(F.when(F.col("first") == (c == "a"), some)).alias(c * 2) for c in "ab"]
-    x = shingle_rows(x, *pairs.columns, "first").groupBy(*pairs.columns).agg(*sides).select(*pairs.columns, *[F.array_distinct(F.flatten(c)).alias(c) for c in ("aa", "bb")])
-    return x.where(F.size(F.array_intersect("aa", "bb")) >= (F.size("aa") + F.size("bb")) * (least / (1 + least)) - 1e-9).select(*pairs.columns)
+    sides = F.array(F.struct(_set("linea").alias("a"), _set("lineb").alias("b")))  # each set once
+    return x.where(F.exists(sides, lambda s: _enough(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]), F.size(s["b"]), least))).select(*pairs.columns)
+
+
+def marks(known: DataFrame, size: int = BANDS * ROWS) -> DataFrame:
+    """(id, n, spare, s0, ..., w0, ...): what a pair of lines is judged by before its sets are made. known: id, line, signature.
+
+    n is the size of the line's set, w its bitmap (each shingle sets one of 64 * WORDS bits), spare how many shingles found their bit set; two sets have
+    no more in common than bits in common and the lesser spare. s holds seven bits of each minimum, seven to a number.
+    """
+    each = known.select("id", F.explode(_set("line")).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(h, 16) & 63 as int))")
+    words = [F.bit_or(F.when(F.col("h").bitwiseAND(WORDS - 1) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    maps = each.groupBy("id").agg(F.count("*").cast("int").alias("n"), *words)
+    maps = maps.select("id", "n", (F.col("n") - sum(F.bit_count(f"w{i}") for i in range(WORDS))).alias("spare"), *[f"w{i}" for i in range(WORDS)])
+    packed = [F.expr(" | ".join(f"shiftleft(cast(coalesce(get(signature, {7 * j + r}), 0) & 127 as bigint), {8 * r})" for r in range(7))).alias(f"s{j}") for j in range(-(-size // 7))]
+    return maps.join(known.select("id", *packed), "id")
+
+
+def _possible(least: float, size: int = BANDS * ROWS) -> Column:
+    """Whether rows of marks(), suffixed a and b, may be alike: their sizes, their signatures as likely() asks, and their bitmaps allow it. Only the signatures may err, once in 10^5."""
+    c = lambda name, side: F.col(f"{name}{side}")
+    sizes = F.least(c("n", "a"), c("n", "b")) >= F.greatest(c("n", "a"), c("n", "b")) * least - 1e-9
+    other = sum(F.bit_count((c(f"s{j}", "a").bitwiseXOR(c(f"s{j}", "b")) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x80808080808080))) for j in range(-(-size // 7)))
+    both = sum(F.bit_count(c(f"w{i}", "a").bitwiseAND(c(f"w{i}", "b"))) for i in range(WORDS)) + F.least(c("spare", "a"), c("spare", "b"))
+    return sizes & (other <= size - 0.625 * least * size) & _enough(both, c("n", "a"), c("n", "b"), least)
 
 
 def _verified(pairs: DataFrame, known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -297,19 +332,20 @@ def _apart(open_: DataFrame, least: float, block: int = BLOCK, known: DataFrame
     if known is None:
         texts = open_.groupBy("id").agg(F.first("line").alias("line"))
         known = scratch.keep(texts.join(signed(texts), "id"))
+    told = scratch.keep(marks(known.join(open_.select("id").distinct(), "id", "left_semi")))
+    names = told.columns[1:]
     n = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     x = open_.select("key", "id", "root").join(n, "key").withColumn("b", F.pmod(F.col("id"), F.col("k")).cast("int"))
-    x = x.join(known.select("id", "signature"), "id")
+    x = x.join(told, "id")
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    x = x.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("left"), "id", "root", "signature")
-    x = scratch.keep(x)
+    x = x.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("left"), "id", "root", *names)
     at = ["key", "lo", "hi"]
-    left = x.where("left").select(*at, F.col("id").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("signaturea"))
-    right = x.where("not left or lo = hi").select(*at, F.col("id").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("signatureb"))
-    met = left.join(right, at).where((F.col("ra") != F.col("rb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))).where(_near(least))
+    side = lambda rows, c: rows.select(*at, F.col("id").alias(c), F.col("root").alias("r" + c), *[F.col(m).alias(m + c) for m in names])
+    left, right = side(x.where("left"), "a"), side(x.where("not left or lo = hi"), "b")
+    met = left.join(right, at).where((F.col("ra") != F.col("rb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & _possible(least))
     first = F.col("a") < F.col("b")
     pairs = scratch.keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(first, F.col("rb")).otherwise(F.col("ra")).alias("rb")).distinct())
-    scratch.drop(x)
+    scratch.drop(told)
     return _alike(pairs, known, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 

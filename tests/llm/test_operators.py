@@ -437,6 +437,22 @@ def test_a_bucket_of_many_blocks(spark):
         assert {tuple(sorted(p)) for p in found} == got
 
 
+def test_near_lines_of_a_bucket_are_told_apart_by_bounds(spark, monkeypatch):
+    """Lines that are near, but not alike, are not compared by their sets; those that are alike are found."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrst ", k=n))
+    base = some(300)
+    lines = [base + some(80) for _ in range(40)]
+    lines += [x[:370] + "#" + x[371:] for x in lines]
+    seen, alike = [], linededup._alike
+    monkeypatch.setattr(linededup, "_alike", lambda pairs, known, least: seen.append(pairs.count()) or alike(pairs, known, least))
+    rows = [(7, k, k, x) for k, x in enumerate(lines)]
+    got = {tuple(sorted(r)) for r in linededup._apart(spark.createDataFrame(rows, "key long, id long, root long, line string"), 0.8).collect()}
+    sets = [brute.line_set(x) for x in lines]
+    assert got == {(a, b) for b in range(80) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} >= {(k, k + 40) for k in range(40)}
+    assert seen == [len(got)] or seen[0] < 400  # of 3,160 pairs
+
+
 def test_fuzzy_lines(spark):
     base = "the quick brown fox jumps over the lazy dog while seven wizards quietly box a dozen liquor jugs near the old harbour town"
     one = base.replace("seven", "eight")
