@@ -17,10 +17,11 @@ from quillon.operators.ranking import bm25_scores, bm25_search, ranked, tfidf_sc
 
 @dataclass(frozen=True)
 class Engine:
-    """corpus: records with doc_ord; index: its index. search() plans a query; nothing is computed before an action."""
+    """corpus: records with doc_ord; index: its index, or that of a query's terms; then norms_of gives the norms. search() plans a query; nothing is computed before an action."""
 
     corpus: DataFrame
     index: Index
+    norms_of: Callable[[], DataFrame] | None = None
 
     @classmethod
     def over(cls, corpus: DataFrame) -> Engine:
@@ -33,7 +34,7 @@ class Engine:
 
     @cached_property
     def norms(self) -> DataFrame:
-        return self.index.stored_norms().persist()
+        return (self.norms_of or self.index.stored_norms)().persist()
 
     @property
     def models(self) -> dict[str, Callable[[str, int], DataFrame]]:
@@ -44,8 +45,8 @@ class Engine:
         }
 
     def search(self, query: str, model: str = "bm25", k: int = 10) -> DataFrame:
-        """rank, doc_ord, score, total and the record's columns, in the order of ranks."""
-        return self.models[model](query, k).join(self.corpus, "doc_ord").orderBy("rank")
+        """doc_ord, the record's columns, rank, score and total, in the order of ranks."""
+        return self.corpus.join(F.broadcast(self.models[model](query, k)), "doc_ord").orderBy("rank")  # k rows
 
     def rankings(self, model: str, queries: dict[int, str], k: int) -> DataFrame:
         """(qid, rank, doc_ord) of the best k of each query. A ranked model answers all queries by one plan."""

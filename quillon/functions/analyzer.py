@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions.porter import stem as stem_word
@@ -33,12 +36,15 @@ def stemmed(words: Column) -> Column:
 
 
 def stemmed_all(tokens: Column) -> Column:
-    """Stems of arrays of words; a worker stems a word once."""
+    """Stems of arrays of words, by an Arrow function; each distinct word of a batch is stemmed once, the others are looked up by Arrow."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda words: [stem_word(w) for w in words], na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        stems = pa.array([stem_word(w) for w in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        return pa.ListArray.from_arrays(offsets, stems.take(coded.indices), mask=pc.is_null(words))
 
     return run(tokens)
 
@@ -49,9 +55,3 @@ def terms(text: Column | str, remove_stopwords: bool = True, stem: bool = True)
     if remove_stopwords:
         out = without_stopwords(out)
     return stemmed_all(out) if stem else out
-
-
-def with_stems(counts: DataFrame, word: str = "term") -> DataFrame:
-    """Replaces a column of words by their stems: each distinct word is stemmed once and joined back."""
-    stems = counts.select(word).distinct().withColumn("_stem", stemmed(F.col(word)))
-    return counts.join(stems, word).drop(word).withColumnRenamed("_stem", word)

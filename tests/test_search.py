@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators.boolean import QuerySyntaxError, boolean_matches, boolean_search, holds, parse, terms_of
-from quillon.operators.index import Index, build_index
+from quillon.operators.graph import Scratch
+from quillon.operators.index import Index, build_index, counted_index, seek
 from quillon.operators.metrics import model_metrics, query_metrics
 from quillon.operators.ranking import bm25_scores, bm25_search, ranked, tfidf_scores, tfidf_search
 
@@ -162,3 +163,29 @@ def test_metrics(spark):
     assert means["map"] == pytest.approx(sum(r["ap"] for r in got.values()) / 4)
     with pytest.raises(ValueError, match="no judgments"):
         model_metrics({"m": ranks}, wanted.where(F.lit(False)))
+
+
+def test_counts_shuffle_texts_and_seek_no_words(spark):
+    """Words are counted where their text is: the one exchange is that of the texts. What a query needs comes from one pass without any."""
+    docs = corpus(spark, *[f"alpha beta word{k} word{k % 3}" for k in range(20)])
+    for stem in (False, True):
+        plan = build_index(docs, stem=stem).postings._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert "Join" not in plan
+    whole, some = build_index(docs), seek(docs, ["alpha", "word1"], Scratch(spark))
+    assert sorted(some.postings.collect()) == sorted(r for r in whole.postings.collect() if r["term"] in ("alpha", "word1"))
+    assert sorted(some.doc_stats.collect()) == sorted(whole.doc_stats.collect())
+    assert hits(bm25_search(some, "alpha word1", 30)) == hits(bm25_search(whole, "alpha word1", 30))
+    assert seek(docs, [], Scratch(spark)).corpus_stats.first() == whole.corpus_stats.first()
+
+
+def test_df_of_common_and_rare_terms(spark, monkeypatch):
+    """The df of common terms is broadcast, that of the others joined; together all counts keep theirs."""
+    from quillon.operators import index as module
+
+    monkeypatch.setattr(module, "COMMON", 3)
+    docs = corpus(spark, *[f"alpha beta word{k} word{k % 3}" for k in range(20)])
+    built = counted_index(docs, Scratch(spark), stem=False)
+    df = {r["term"]: r["df"] for r in built.term_stats.collect()}
+    got = module.with_df(built.postings, built.term_stats, 2).collect()
+    assert sorted((r["term"], r["doc_ord"], r["df"]) for r in got) == sorted((r["term"], r["doc_ord"], df[r["term"]]) for r in built.postings.collect() if df[r["term"]] > 1)
