@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,31 @@ def test_refresh(spark, tmp_path):
     assert set(got) == {"arxiv:1", "s2:9"}
     assert (got["arxiv:1"]["venue"], got["arxiv:1"]["doc_ord"], got["arxiv:1"]["sources"]) == ("V", 0, ["arxiv", "s2"])
     assert latest(spark, str(tmp_path / "none")) is None
+
+
+def test_topics_are_plain_kmeans_and_the_silhouette_is_of_all_pairs(spark, monkeypatch):
+    """Lloyd's fixed point, the least cost, and silhouettes of all rows whatever the blocks: against plain numpy."""
+    from quillon.operators import cluster
+
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [0, 1 + int(i) % 3, 4 + int(i) % 5], [float(x) for x in rng.random(3) + [0, 3, 0]]) for i in range(60)] + [(60, [], [])]
+    vectors = spark.createDataFrame(rows, "doc_ord long, places array<int>, values array<double>").repartition(3)
+    x = np.zeros((61, 9))
+    for i, p, v in rows:
+        x[i, p] = v
+    monkeypatch.setattr(cluster, "SHARED", 9 * 4 * 8 * 2)
+    model = fit_topics(vectors, 4, starts=5)
+    d = np.sqrt(((x[:, None] - model.centers[None]) ** 2).sum(axis=2))
+    got = {r["doc_ord"]: (r["cluster"], r["distance"]) for r in assignments(model, vectors).collect()}
+    assert all(got[i] == (d[i].argmin(), pytest.approx(d[i].min())) for i in range(61))
+    label = d.argmin(axis=1)
+    assert np.allclose(model.centers, [x[label == c].mean(axis=0) for c in range(4)], atol=1e-3)
+    assert model.cost == pytest.approx((d.min(axis=1) ** 2).sum(), rel=1e-3)
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    each = []
+    for i in range(61):
+        a = far[i][(label == label[i]) & (np.arange(61) != i)]
+        b = min(far[i][label == c].mean() for c in set(label) - {label[i]})
+        each.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0.0)
+    assert cluster.silhouettes(vectors, [model, model]) == [pytest.approx(np.mean(each))] * 2
